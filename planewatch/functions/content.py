@@ -9,7 +9,6 @@ from planewatch import schemas as S
 from planewatch.functions.text import (
     blank_to_null,
     decode_part,
-    first_given,
     is_text_or_absent,
     text_of,
     utc_time,
@@ -181,16 +180,23 @@ def bad_line_reason(id_field: str) -> Column:
     )
 
 
-def content_events(decoded: DataFrame) -> DataFrame:
-    """Decoded good lines to one flat event per trace record. A plain projection: no shuffle."""
+def content_parts(decoded: DataFrame) -> DataFrame:
+    """The polymorphic parts of good lines, each decoded once: messages in both forms, the output,
+    the detailed observations."""
     w = F.col("w")
-    stage = decoded.select(
+    return decoded.select(
         "ingest_seq", "w",
-        F.when(w["input"].isNotNull(), decode_part(w["input"], S.WRAPPED_MESSAGES)).alias("wrapped"),
+        F.when(w["input"].startswith("{"), decode_part(w["input"], S.WRAPPED_MESSAGES)).alias("wrapped"),
         F.when(w["input"].startswith("["), decode_part(w["input"], S.BARE_MESSAGES)).alias("bare"),
         F.when(w["output"].isNotNull(), decode_part(w["output"], S.OUTPUT_WIRE)).alias("out"),
         observations(decode_part(w["observations"], S.OBSERVATION_WIRE)).alias("obs"),
-    ).withColumn("r", reduce_generations(ordered_generations(F.col("obs"))))
+    )
+
+
+def content_events(decoded: DataFrame) -> DataFrame:
+    """Decoded good lines to one flat event per trace record. A plain projection: no shuffle."""
+    w = F.col("w")
+    stage = content_parts(decoded).withColumn("r", reduce_generations(ordered_generations(F.col("obs"))))
 
     obs, r, tags = F.col("obs"), F.col("r"), w["tags"]
     start, end = request_bounds(obs)
@@ -200,7 +206,7 @@ def content_events(decoded: DataFrame) -> DataFrame:
     failed = F.coalesce(status == K.FAILURE, F.lit(False))
     measured = (r["answered"] > 0) & (r["with_usage"] == r["answered"])
     zero = F.lit(0).cast("bigint")
-    trace_id = text_of(w["id"])
+    trace_id = blank_to_null(text_of(w["id"]))
     return stage.select(
         "ingest_seq",
         trace_id.alias("document_id"),

@@ -56,7 +56,7 @@ def gateway_events(decoded: DataFrame) -> DataFrame:
     """Decoded good lines to one flat event per attempt. A plain projection: no shuffle."""
     w = F.col("w")
     meta, err = w["metadata"], w["metadata"]["error_information"]
-    request_id = text_of(w["request_id"])
+    request_id = blank_to_null(text_of(w["request_id"]))
     status = gateway_status(w["status"])
     failed = F.coalesce(w["status"] == K.FAILURE, F.lit(False))
     start = utc_time(w["startTime"], naive_is_utc=True)

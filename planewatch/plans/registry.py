@@ -1,0 +1,540 @@
+"""Every query by name: ``(spark, sf_dir) -> DataFrame`` over all rows of the given tables."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from planewatch import constants as K
+from planewatch import schemas as S
+from planewatch.functions import content as B
+from planewatch.functions import documents as D
+from planewatch.operators import correlate as G
+from planewatch.operators import detections as R
+from planewatch.operators import health as H
+from planewatch.operators import quality as Q
+from planewatch.operators.scorecard import detection_scorecard
+from planewatch.operators.upsert import upsert_latest
+from planewatch.plans import derive
+from planewatch.session import apply_conf, scratch_dir
+from planewatch.sources import archive as A
+from planewatch.sources import planes
+from planewatch.streaming import runs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+# Configuration the rules are run with. Expected pairs: what normally serves each model.
+EXPECTED_MODELS = {
+    "model-a": [f"{p}/model-a" for p in planes.PROVIDERS],
+    "model-b": [f"{p}/model-b" for p in planes.PROVIDERS],
+}
+NOW = datetime(2024, 1, 16)
+BASE_URL = "https://traces.example/"
+# Digest of a key name that is known to be harmless.
+ALLOWED_HASHES = [hashlib.sha256(b"key-0").hexdigest()]
+PROVIDER_EXCEPTIONS = ["ai21", "cloudflare", "replicate"]
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(apply_conf(spark), sf_dir)
+
+        _QUERIES[name] = run
+        return fn
+
+    return register
+
+
+def all_queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+# --------------------------------------------------------------- shared inputs
+
+def lines(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
+    return planes.content_lines(spark, sf_dir) if dataset == K.CONTENT else planes.gateway_lines(spark, sf_dir)
+
+
+def events(spark: SparkSession, sf_dir: str, dataset: str, skip_health: bool = True) -> DataFrame:
+    return derive.latest_events(lines(spark, sf_dir, dataset), dataset, skip_health)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.dataset_view(
+        D.content_documents(events(spark, sf_dir, K.CONTENT)),
+        D.gateway_documents(events(spark, sf_dir, K.GATEWAY)),
+    )
+
+
+def _usd(col: Column | str) -> Column:
+    return F.round(F.col(col) if isinstance(col, str) else col, 9)
+
+
+def _both(per_dataset: Callable[[str], DataFrame]) -> DataFrame:
+    return per_dataset(K.CONTENT).unionByName(per_dataset(K.GATEWAY))
+
+
+
+# -------------------------------------------------------- A: scan, ingest, store
+
+def _archived(spark: SparkSession, sf_dir: str, dataset: str) -> str:
+    path = scratch_dir(spark, f"archive-{dataset}")
+    planes.write_archive(lines(spark, sf_dir, dataset), path)
+    return path
+
+
+def _scan(spark: SparkSession, sf_dir: str, dataset: str, field: str) -> DataFrame:
+    found = A.scan_archive(spark, _archived(spark, sf_dir, dataset))
+    record = F.regexp_extract("raw", f'"{field}":"([^"]*)"', 1)
+    return found.groupBy(record.alias("record_id")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("scan_content")
+def scan_content(spark, sf_dir):
+    return _scan(spark, sf_dir, K.CONTENT, "id")
+
+
+@query("scan_gateway")
+def scan_gateway(spark, sf_dir):
+    return _scan(spark, sf_dir, K.GATEWAY, "request_id")
+
+
+def _decoded(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
+    return derive.decode(lines(spark, sf_dir, dataset).filter(~A.is_blank(F.col("raw"))), dataset)
+
+
+@query("quarantine")
+def quarantine(spark, sf_dir):
+    return _both(lambda d: A.bad_lines(_decoded(spark, sf_dir, d), d)).select(
+        "dataset", F.col("ingest_seq.row").alias("ingest_row"), "reason",
+        F.octet_length("excerpt").cast("bigint").alias("excerpt_bytes"),
+    )
+
+
+@query("require_document_id")
+def require_document_id(spark, sf_dir):
+    def kept(d: str) -> DataFrame:
+        # All decoded lines, unusable ones included: they are what has no id.
+        to_events = B.content_events if d == K.CONTENT else derive.gateway_events
+        found = A.require_document_id(to_events(_decoded(spark, sf_dir, d)))
+        return found.groupBy(F.lit(d).alias("dataset"), "document_id").agg(F.count(F.lit(1)).alias("versions"))
+
+    return _both(kept)
+
+
+@query("upsert_latest")
+def upsert(spark, sf_dir):
+    def latest(d: str) -> DataFrame:
+        docs = upsert_latest(derive.documents_from_lines(lines(spark, sf_dir, d), d))
+        return docs.select(
+            "dataset", "document_id", F.col("ingest_seq.row").alias("ingest_row"),
+            F.col("event.duration").alias("duration_ns"),
+        )
+
+    return _both(latest)
+
+
+@query("initial_bound")
+def initial_bound(spark, sf_dir):
+    return _both(lambda d: A.initial_bound(events(spark, sf_dir, d), d, now=NOW).select(
+        F.lit(d).alias("dataset"), "document_id", "request_ts"
+    ))
+
+
+@query("backfill")
+def backfill(spark, sf_dir):
+    archives = {d: _archived(spark, sf_dir, d) for d in (K.CONTENT, K.GATEWAY)}
+    return derive.backfill(spark, archives).select(
+        "dataset", "document_id", F.col("event.start").alias("event_start"),
+        F.col("event.outcome").alias("outcome"), F.col("event.duration").alias("duration_ns"),
+    )
+
+
+@query("drop_health_checks")
+def drop_health_checks(spark, sf_dir):
+    return _both(lambda d: events(spark, sf_dir, d).select(F.lit(d).alias("dataset"), "document_id"))
+
+
+@query("dataset_view")
+def dataset_view(spark, sf_dir):
+    return documents(spark, sf_dir).select(
+        "dataset", "document_id", R.TRACE.alias("trace_id"), R.START.alias("event_start"),
+        F.col("event.outcome").alias("outcome"), F.col("llm.output_length").alias("output_length"),
+        F.col("http.response.status_code").alias("status_code"), F.col("llm.key.alias").alias("key_alias"),
+    )
+
+
+@query("load_baseline")
+def load_baseline(spark, sf_dir):
+    path = scratch_dir(spark, "baseline")
+    ids = planes.baseline(spark, sf_dir)
+    # One JSON document per id: written and read in parallel.
+    ids.select(F.lit("predates the join key").alias("reason"), F.array("trace_id").alias("trace_ids")).write.json(path)
+    return A.load_baseline(spark, path, one_document=False)
+
+
+@query("ingest_counters")
+def ingest_counters(spark, sf_dir):
+    def counters(d: str) -> DataFrame:
+        decoded = derive.decode(lines(spark, sf_dir, d), d)
+        used = decoded.filter(~A.is_blank(F.col("raw")))
+        return A.ingest_counters(decoded, derive.events_from_decoded(used, d), d)
+
+    return _both(counters)
+
+
+# ------------------------------------------------------------ B: content records
+
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir, K.CONTENT)
+
+
+def _content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every good line, replays included."""
+    parts = B.content_parts(A.good_lines(_decoded(spark, sf_dir, K.CONTENT)))
+    return parts.withColumn("trace_id", B.text_of(F.col("w.id"))).withColumn("ingest_row", F.col("ingest_seq.row"))
+
+
+@query("parse_content")
+def parse_content(spark, sf_dir):
+    return _content(spark, sf_dir).select(
+        "trace_id", "environment", "session_id", "user_id", "trace_name", F.array_join("tags", ",").alias("tags"),
+        "request_ts", "ingest_ts", _usd("cost").alias("cost"),
+    )
+
+
+@query("project_id_fallback")
+def project_id_fallback(spark, sf_dir):
+    return _content(spark, sf_dir).select("trace_id", "project_id", "source_ref")
+
+
+@query("parse_messages")
+def parse_messages(spark, sf_dir):
+    m = F.col("messages")
+    return _content(spark, sf_dir).select(
+        "trace_id",
+        F.coalesce(F.array_join(F.transform(m, lambda x: x["role"]), ","), F.lit("")).alias("roles"),
+        F.md5(F.coalesce(F.array_join(F.transform(m, lambda x: x["content"]), "|"), F.lit(""))).alias("contents_md5"),
+    )
+
+
+@query("parse_output")
+def parse_output(spark, sf_dir):
+    return _content(spark, sf_dir).select("trace_id", "output_role", F.md5("output").alias("output_md5"))
+
+
+@query("decode_observations")
+def decode_observations(spark, sf_dir):
+    return _content_parts(spark, sf_dir).select(
+        "trace_id", "ingest_row", F.col("obs").isNotNull().alias("has_detail"),
+        F.when(F.col("obs").isNotNull(), F.size("obs")).cast("bigint").alias("observations"),
+    )
+
+
+@query("order_generations")
+def order_generations(spark, sf_dir):
+    ids = F.transform(B.ordered_generations(F.col("obs")), lambda t: t["o"]["id"])
+    return _content_parts(spark, sf_dir).select("trace_id", "ingest_row", F.array_join(ids, ",").alias("generations"))
+
+
+@query("reduce_generations")
+def reduce_generations(spark, sf_dir):
+    return _content(spark, sf_dir).select(
+        "trace_id", "status", "status_message", "request_model", "response_model", "response_id", "max_tokens",
+        "input_tokens", "output_tokens", "generation_count", "errored_generation_count", _usd("cost").alias("cost"),
+    )
+
+
+@query("request_bounds")
+def request_bounds(spark, sf_dir):
+    return _content(spark, sf_dir).select(
+        "trace_id", F.col("start_ts").alias("event_start"), F.col("end_ts").alias("event_end")
+    )
+
+
+@query("completion_id")
+def completion_id(spark, sf_dir):
+    exploded = _content_parts(spark, sf_dir).select("trace_id", "ingest_row", F.explode("obs").alias("o"))
+    return exploded.select(
+        "trace_id", "ingest_row", F.col("o.id").alias("observation_id"),
+        B.completion_id(F.col("o.id")).alias("completion_id"),
+    )
+
+
+@query("scenario_label")
+def scenario_label(spark, sf_dir):
+    return _content(spark, sf_dir).select("trace_id", "trace_name", "scenario")
+
+
+@query("content_health_check")
+def content_health_check(spark, sf_dir):
+    return events(spark, sf_dir, K.CONTENT, skip_health=False).select("document_id", "is_health_check")
+
+
+@query("duration_ns")
+def duration_ns(spark, sf_dir):
+    return _content(spark, sf_dir).select("trace_id", "duration_ns")
+
+
+# ------------------------------------------------------------ C: gateway records
+
+def _gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir, K.GATEWAY)
+
+
+def _gateway_query(name: str, *columns: str | Column) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        return _gateway(spark, sf_dir).select(F.col("document_id").alias("request_id"), *columns)
+
+
+_gateway_query(
+    "parse_gateway", "call_id", "key_alias", "key_hash", "team_id", "provider", "call_type", "requester_ip"
+)
+_gateway_query("join_key", "trace_id")
+_gateway_query("trusted_session", "status", "session_id")
+_gateway_query("gateway_user", "user_id")
+_gateway_query("gateway_times", F.col("start_ts").alias("event_start"), F.col("end_ts").alias("event_end"), "duration_ns")
+_gateway_query("gateway_status", "status", "status_message", "error_class", "error_code", "http_status")
+_gateway_query("gateway_models", "request_model", "response_model", "response_id")
+_gateway_query("absent_not_zero", "input_tokens", "output_tokens", _usd("cost").alias("cost"))
+_gateway_query("clean_tags", F.array_join("tags", ",").alias("tags"))
+_gateway_query("attempted_retries", "attempted_retries")
+
+
+@query("gateway_health_check")
+def gateway_health_check(spark, sf_dir):
+    return events(spark, sf_dir, K.GATEWAY, skip_health=False).select("document_id", "is_health_check")
+
+
+# ------------------------------------------------------ D: document derivation
+
+def _document_query(name: str, *columns: Column, dataset: str | None = None) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        docs = documents(spark, sf_dir)
+        if dataset:
+            docs = docs.filter(F.col("dataset") == dataset)
+        return docs.select("dataset", "document_id", *columns)
+
+
+def _c(path: str, alias: str) -> Column:
+    return F.col(path).alias(alias)
+
+
+_document_query(
+    "common_fields", F.col("ts"), _c("schema_version", "schema_version"), _c("event.kind", "kind"),
+    _c("event.module", "module"), _c("event.outcome", "outcome"), _c("event.start", "event_start"),
+    _c("event.end", "event_end"), _c("event.ingested", "ingested"), _c("event.duration", "duration_ns"),
+    _c("trace.id", "trace_id"), _c("session.id", "session_id"), _c("user.id", "user_id"),
+    _c("error.message", "error_message"), _c("event_date", "event_date"),
+)
+_document_query(
+    "last_message_by_role", F.md5("llm.system_prompt").alias("system_md5"), F.md5("llm.user_prompt").alias("user_md5"),
+    dataset=K.CONTENT,
+)
+_document_query("encode_messages", F.md5("llm.messages").alias("messages_md5"), dataset=K.CONTENT)
+_document_query(
+    "content_sizes", _c("llm.message_count", "message_count"), _c("llm.output_length", "output_length"),
+    dataset=K.CONTENT,
+)
+_document_query("genai_system", _c("gen_ai.system", "system"))
+_document_query("genai_operation", _c("gen_ai.operation.name", "operation"))
+_document_query("event_types", F.array_join("event.type", ",").alias("event_types"), dataset=K.GATEWAY)
+_document_query("event_categories", F.array_join("event.category", ",").alias("event_categories"))
+_document_query("event_action", _c("event.action", "action"), dataset=K.GATEWAY)
+_document_query("related_users", F.array_join("related.user", ",").alias("related_users"))
+_document_query(
+    "null_groups",
+    *[F.col(g).isNotNull().alias(f"has_{g.split('.')[-1]}") for g in
+      ("trace", "session", "gen_ai.request", "gen_ai.response", "gen_ai.usage", "error", "http", "related")],
+)
+_document_query(
+    "gateway_has_no_content",
+    *[F.col(f"llm.{f}").isNull().alias(f"no_{f}") for f in
+      ("user_prompt", "output", "messages", "message_count", "output_length", "generation_count")],
+)
+
+
+@query("event_reference")
+def event_reference(spark, sf_dir):
+    docs = D.content_documents(_content(spark, sf_dir), BASE_URL)
+    return docs.select("document_id", F.col("event.reference").alias("reference"))
+
+
+# ------------------------------------------------------------- E: data quality
+
+@query("schema_parity")
+def schema_parity(spark, sf_dir):
+    content = D.content_documents(_content(spark, sf_dir))
+    gateway = D.gateway_documents(_gateway(spark, sf_dir))
+    problems = Q.schema_parity(content.schema, gateway.schema)
+    if problems:
+        raise ValueError("; ".join(problems))
+    return Q.field_census(content, gateway)
+
+
+@query("declared_fields")
+def declared_fields(spark, sf_dir):
+    docs = {K.CONTENT: D.content_documents(_content(spark, sf_dir)), K.GATEWAY: D.gateway_documents(_gateway(spark, sf_dir))}
+    problems = Q.declared_fields(docs[K.CONTENT], S.CONTENT_DOCUMENT) + Q.declared_fields(docs[K.GATEWAY], S.GATEWAY_DOCUMENT)
+    if problems:
+        raise ValueError("; ".join(problems))
+    return _both(lambda d: docs[d].groupBy("dataset", "schema_version").agg(F.count(F.lit(1)).alias("documents")))
+
+
+@query("merged_traces")
+def merged_traces(spark, sf_dir):
+    return Q.merged_traces(_content(spark, sf_dir))
+
+
+@query("credential_scan")
+def credential_scan(spark, sf_dir):
+    spends = planes.gateway_lines(spark, sf_dir).select(
+        F.concat(F.lit("line-"), F.col("ingest_seq.row").cast("string")).alias("source"), "raw"
+    )
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("raw")
+    )
+    return Q.credential_scan(spends.unionByName(texts), "source", "raw", allowed_hashes=ALLOWED_HASHES)
+
+
+@query("provider_coverage")
+def provider_coverage(spark, sf_dir):
+    return Q.provider_coverage(_gateway(spark, sf_dir).select("provider"), PROVIDER_EXCEPTIONS)
+
+
+@query("unknown_provider_audit")
+def unknown_provider_audit(spark, sf_dir):
+    return Q.unknown_provider_audit(documents(spark, sf_dir))
+
+
+@query("join_key_fanout")
+def join_key_fanout(spark, sf_dir):
+    return Q.join_key_fanout(documents(spark, sf_dir), more_than=1)
+
+
+# --------------------------------------------------------------- F: detections
+
+def _rule(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        return build(documents(spark, sf_dir))
+
+
+_rule("d01_canary_output", R.canary_output)
+_rule("d02_injection_phrase", R.injection_phrase)
+_rule("d03_short_output", R.short_output)
+_rule("d03_short_output_rate", R.short_output_rate)
+_rule("d04_token_sum_user", R.token_sum_user)
+_rule("d04_token_spike", lambda d: R.token_spike(d).withColumn("usual_tokens", F.round("usual_tokens", 6)))
+_rule("d05_token_ratio", lambda d: R.token_ratio(d).withColumn("token_ratio", F.round("token_ratio", 9)))
+_rule("d06_cost_per_session", lambda d: R.cost_per_session(d).withColumn("total_cost_usd", _usd("total_cost_usd")))
+_rule("d07_model_routing", lambda d: R.model_routing(d, EXPECTED_MODELS))
+_rule("d08_budget_blocks", R.budget_blocks)
+_rule("d09_attempt_then_block", R.attempt_then_block)
+_rule("d10_auth_clusters", R.auth_clusters)
+_rule("d12_cost_disagreement", lambda d: R.cost_disagreement(d).select(
+    "trace_id", _usd("gateway_cost").alias("gateway_cost"), _usd("content_cost").alias("content_cost")))
+_rule("d13_model_disagreement", R.model_disagreement)
+_rule("d14_prompt_many_keys", R.prompt_many_keys)
+_rule("d14_key_many_users", R.key_many_users)
+_rule("d15_enforcement_type", R.enforcement_type)
+
+
+@query("d11_content_without_gateway")
+def d11_content_without_gateway(spark, sf_dir):
+    return R.content_without_gateway(documents(spark, sf_dir), planes.baseline(spark, sf_dir))
+
+
+# ------------------------------------------------ G: correlation, join health
+
+_rule("correlate", lambda d: G.correlate(d).select(
+    "trace_id", "request_id", "side", "content_outcome", "gateway_outcome", "content_start", "gateway_start"))
+_rule("resolve_request", lambda d: G.resolve_request(d).select(
+    "trace_id", "attempts", "has_content", "event_start", "outcome", "gateway_outcome", "content_outcome",
+    _usd("cost_usd").alias("cost_usd"), _usd("gateway_cost").alias("gateway_cost"),
+    _usd("content_cost").alias("content_cost"), "input_tokens", "output_tokens", "requested_model",
+    "served_model", "gateway_model", "content_model", "system", "user_id", "session_id",
+    F.md5("user_prompt").alias("prompt_md5"), F.md5("output").alias("output_md5")))
+_rule("completion_id_crosscheck", G.completion_id_crosscheck)
+_rule("attempts_per_request", lambda d: G.attempts_per_request(d).withColumn(
+    "attempts_per_request", F.round("attempts_per_request", 9)))
+_rule("correlation_window", lambda d: G.correlation_window(d).select("trace_id", "request_id", "skew_us"))
+_rule("forged_health_tag", G.forged_health_tag)
+
+
+@query("join_health_lag")
+def join_health_lag(spark, sf_dir):
+    """The lag each row's intervals would need: fetch and index intervals taken from the data."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    lag = H.lag_seconds(fetch=k, index=k * 2)
+    return e.groupBy(k.alias("fetch_seconds")).agg(F.max(lag).alias("lag_seconds"), F.count(F.lit(1)).alias("rows"))
+
+
+# The default measurement is a quarter of an hour; three days give it something to count here.
+HEALTH_LAG = int(H.join_health_lag(timedelta(seconds=30), timedelta(seconds=10)).total_seconds())
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.join_health(
+        documents(spark, sf_dir), planes.baseline(spark, sf_dir), NOW, window_seconds=3 * 86400, lag_seconds=HEALTH_LAG
+    )
+
+
+@query("join_health")
+def join_health(spark, sf_dir):
+    return _health(spark, sf_dir)
+
+
+@query("join_health_rates")
+def join_health_rates(spark, sf_dir):
+    return H.with_rates(_health(spark, sf_dir)).select(
+        F.round("content_unexplained_rate", 9).alias("content_unexplained_rate"),
+        F.round("gateway_unexplained_rate", 9).alias("gateway_unexplained_rate"), "healthy",
+    )
+
+
+@query("join_health_series")
+def join_health_series(spark, sf_dir):
+    return H.join_health_series(documents(spark, sf_dir), planes.baseline(spark, sf_dir), lag_seconds=HEALTH_LAG)
+
+
+# ---------------------------------------------------------------- H: evaluation
+
+@query("detection_scorecard")
+def scorecard(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return detection_scorecard(docs, {
+        "canary_output": R.canary_output(docs),
+        "injection_phrase": R.injection_phrase(docs),
+        "short_output": R.short_output(docs),
+        "token_ratio": R.token_ratio(docs),
+    })
+
+
+# ----------------------------------------------------------------- I: streaming
+
+def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: str) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        archives = {}
+        for d in datasets:
+            archives[d] = _archived(spark, sf_dir, d)
+            runs.append_closing_record(spark, archives[d], d)
+        return run_stream(spark, archives)
+
+
+_stream_query("incremental_ingest", runs.incremental_ingest, K.GATEWAY)
+_stream_query("stream_upsert_sink", runs.upsert_sink, K.CONTENT, K.GATEWAY)
+_stream_query("stream_hourly_blocks", runs.hourly_blocks, K.GATEWAY)
+_stream_query("stream_hourly_auth", runs.hourly_auth, K.GATEWAY)
+_stream_query("stream_enforcement_type", runs.hourly_enforcement, K.GATEWAY)
+_stream_query("stream_unmatched", runs.unmatched, K.CONTENT, K.GATEWAY)
+_stream_query("stream_sequence", runs.sequence, K.CONTENT, K.GATEWAY)

@@ -159,13 +159,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def load_baseline(spark: SparkSession, path: str | None) -> DataFrame:
-    """Trace ids that are known never to match. No file means none are expected."""
+def load_baseline(spark: SparkSession, path: str | None, one_document: bool = True) -> DataFrame:
+    """Trace ids that are known never to match, from one JSON document or from one per line. No
+    file means none are expected."""
     empty = spark.createDataFrame([], "trace_id string")
     if not path:
         return empty
     try:
-        found = spark.read.schema(S.BASELINE).option("multiLine", True).json(path)
+        found = spark.read.schema(S.BASELINE).option("multiLine", one_document).json(path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return empty
