@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from planewatch import constants as K
@@ -51,16 +53,15 @@ def merged_traces(events: DataFrame) -> DataFrame:
 def credential_scan(texts: DataFrame, key: str, text: str, allowed_hashes: list[str] | None = None) -> DataFrame:
     """Key hashes and unredacted secret tokens, token by token over the whole text: a redacted
     token next to a real one must not hide it. One row per find, no shuffle."""
-    finds = [
-        ("sha256_hash", F.regexp_extract_all(F.col(text), F.lit(K.HEX_DIGEST), F.lit(0)),
-         lambda t: ~t.isin(list(allowed_hashes or [])) if allowed_hashes else F.lit(True)),
-        ("secret_token", F.regexp_extract_all(F.col(text), F.lit(K.SECRET_TOKEN), F.lit(0)),
-         lambda t: ~t.rlike(K.REDACTED_TOKEN)),
-    ]
-    found = F.concat(*[
-        F.transform(F.filter(tokens, keep), lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
-        for kind, tokens, keep in finds
-    ])
+    def tokens(kind: str, pattern: str, keep: Callable[[Column], Column]) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return F.transform(F.filter(found, keep), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+    allowed = list(allowed_hashes or [])
+    found = F.concat(
+        tokens("sha256_hash", K.HEX_DIGEST, lambda t: ~t.isin(allowed) if allowed else F.lit(True)),
+        tokens("secret_token", K.SECRET_TOKEN, lambda t: ~t.rlike(K.REDACTED_TOKEN)),
+    )
     return texts.select(F.col(key), F.explode(found).alias("f")).select(key, "f.kind", "f.token")
 
 

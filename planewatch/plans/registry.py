@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,19 +57,26 @@ def all_queries() -> dict[str, Query]:
 
 # --------------------------------------------------------------- shared inputs
 
+# Only plans are kept here, never data: building one takes some thousand calls to the JVM, and
+# most queries start from the same few.
+@lru_cache(maxsize=32)
 def lines(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     return planes.content_lines(spark, sf_dir) if dataset == K.CONTENT else planes.gateway_lines(spark, sf_dir)
 
 
+@lru_cache(maxsize=32)
 def events(spark: SparkSession, sf_dir: str, dataset: str, skip_health: bool = True) -> DataFrame:
     return derive.latest_events(lines(spark, sf_dir, dataset), dataset, skip_health)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.dataset_view(
-        D.content_documents(events(spark, sf_dir, K.CONTENT)),
-        D.gateway_documents(events(spark, sf_dir, K.GATEWAY)),
-    )
+@lru_cache(maxsize=32)
+def documents(spark: SparkSession, sf_dir: str, dataset: str | None = None) -> DataFrame:
+    """The documents of one dataset, or the view over both."""
+    if dataset == K.CONTENT:
+        return D.content_documents(events(spark, sf_dir, K.CONTENT))
+    if dataset == K.GATEWAY:
+        return D.gateway_documents(events(spark, sf_dir, K.GATEWAY))
+    return A.dataset_view(documents(spark, sf_dir, K.CONTENT), documents(spark, sf_dir, K.GATEWAY))
 
 
 def _usd(col: Column | str) -> Column:
@@ -317,10 +325,7 @@ def gateway_health_check(spark, sf_dir):
 def _document_query(name: str, *columns: Column, dataset: str | None = None) -> None:
     @query(name)
     def run(spark, sf_dir):
-        docs = documents(spark, sf_dir)
-        if dataset:
-            docs = docs.filter(F.col("dataset") == dataset)
-        return docs.select("dataset", "document_id", *columns)
+        return documents(spark, sf_dir, dataset).select("dataset", "document_id", *columns)
 
 
 def _c(path: str, alias: str) -> Column:
@@ -371,8 +376,8 @@ def event_reference(spark, sf_dir):
 
 @query("schema_parity")
 def schema_parity(spark, sf_dir):
-    content = D.content_documents(_content(spark, sf_dir))
-    gateway = D.gateway_documents(_gateway(spark, sf_dir))
+    content = documents(spark, sf_dir, K.CONTENT)
+    gateway = documents(spark, sf_dir, K.GATEWAY)
     problems = Q.schema_parity(content.schema, gateway.schema)
     if problems:
         raise ValueError("; ".join(problems))
@@ -381,7 +386,7 @@ def schema_parity(spark, sf_dir):
 
 @query("declared_fields")
 def declared_fields(spark, sf_dir):
-    docs = {K.CONTENT: D.content_documents(_content(spark, sf_dir)), K.GATEWAY: D.gateway_documents(_gateway(spark, sf_dir))}
+    docs = {K.CONTENT: documents(spark, sf_dir, K.CONTENT), K.GATEWAY: documents(spark, sf_dir, K.GATEWAY)}
     problems = Q.declared_fields(docs[K.CONTENT], S.CONTENT_DOCUMENT) + Q.declared_fields(docs[K.GATEWAY], S.GATEWAY_DOCUMENT)
     if problems:
         raise ValueError("; ".join(problems))
@@ -416,35 +421,36 @@ def unknown_provider_audit(spark, sf_dir):
 
 @query("join_key_fanout")
 def join_key_fanout(spark, sf_dir):
-    return Q.join_key_fanout(documents(spark, sf_dir), more_than=1)
+    return Q.join_key_fanout(documents(spark, sf_dir, K.GATEWAY), more_than=1)
 
 
 # --------------------------------------------------------------- F: detections
 
-def _rule(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+def _rule(name: str, build: Callable[[DataFrame], DataFrame], dataset: str | None = None) -> None:
+    """A rule over the view, or over the table of the only dataset it looks at."""
     @query(name)
     def run(spark, sf_dir):
-        return build(documents(spark, sf_dir))
-
-
-_rule("d01_canary_output", R.canary_output)
-_rule("d02_injection_phrase", R.injection_phrase)
-_rule("d03_short_output", R.short_output)
-_rule("d03_short_output_rate", R.short_output_rate)
-_rule("d04_token_sum_user", R.token_sum_user)
-_rule("d04_token_spike", lambda d: R.token_spike(d).withColumn("usual_tokens", F.round("usual_tokens", 6)))
-_rule("d05_token_ratio", lambda d: R.token_ratio(d).withColumn("token_ratio", F.round("token_ratio", 9)))
-_rule("d06_cost_per_session", lambda d: R.cost_per_session(d).withColumn("total_cost_usd", _usd("total_cost_usd")))
-_rule("d07_model_routing", lambda d: R.model_routing(d, EXPECTED_MODELS))
-_rule("d08_budget_blocks", R.budget_blocks)
+        return build(documents(spark, sf_dir, dataset))
+
+
+_rule("d01_canary_output", R.canary_output, K.CONTENT)
+_rule("d02_injection_phrase", R.injection_phrase, K.CONTENT)
+_rule("d03_short_output", R.short_output, K.CONTENT)
+_rule("d03_short_output_rate", R.short_output_rate, K.CONTENT)
+_rule("d04_token_sum_user", R.token_sum_user, K.CONTENT)
+_rule("d04_token_spike", lambda d: R.token_spike(d).withColumn("usual_tokens", F.round("usual_tokens", 6)), K.CONTENT)
+_rule("d05_token_ratio", lambda d: R.token_ratio(d).withColumn("token_ratio", F.round("token_ratio", 9)), K.CONTENT)
+_rule("d06_cost_per_session", lambda d: R.cost_per_session(d).withColumn("total_cost_usd", _usd("total_cost_usd")), K.CONTENT)
+_rule("d07_model_routing", lambda d: R.model_routing(d, EXPECTED_MODELS), K.GATEWAY)
+_rule("d08_budget_blocks", R.budget_blocks, K.GATEWAY)
 _rule("d09_attempt_then_block", R.attempt_then_block)
-_rule("d10_auth_clusters", R.auth_clusters)
+_rule("d10_auth_clusters", R.auth_clusters, K.GATEWAY)
 _rule("d12_cost_disagreement", lambda d: R.cost_disagreement(d).select(
     "trace_id", _usd("gateway_cost").alias("gateway_cost"), _usd("content_cost").alias("content_cost")))
 _rule("d13_model_disagreement", R.model_disagreement)
 _rule("d14_prompt_many_keys", R.prompt_many_keys)
 _rule("d14_key_many_users", R.key_many_users)
-_rule("d15_enforcement_type", R.enforcement_type)
+_rule("d15_enforcement_type", R.enforcement_type, K.GATEWAY)
 
 
 @query("d11_content_without_gateway")
@@ -464,9 +470,9 @@ _rule("resolve_request", lambda d: G.resolve_request(d).select(
     F.md5("user_prompt").alias("prompt_md5"), F.md5("output").alias("output_md5")))
 _rule("completion_id_crosscheck", G.completion_id_crosscheck)
 _rule("attempts_per_request", lambda d: G.attempts_per_request(d).withColumn(
-    "attempts_per_request", F.round("attempts_per_request", 9)))
+    "attempts_per_request", F.round("attempts_per_request", 9)), K.GATEWAY)
 _rule("correlation_window", lambda d: G.correlation_window(d).select("trace_id", "request_id", "skew_us"))
-_rule("forged_health_tag", G.forged_health_tag)
+_rule("forged_health_tag", G.forged_health_tag, K.GATEWAY)
 
 
 @query("join_health_lag")

@@ -72,14 +72,22 @@ def excerpt(raw: Column, limit: int = K.EXCERPT_BYTES) -> Column:
 
 
 def good_lines(decoded: DataFrame) -> DataFrame:
-    return decoded.filter(F.col("reason").isNull())
+    """Lines that can be used.
+
+    Kept by exploding a list of one or none, not by a filter: Spark pushes a filter below the
+    projection that parses the line and would parse every line again, once per use in the
+    condition. A generator stays where it is.
+    """
+    kept = F.when(F.col("reason").isNull(), F.array("w"))
+    return decoded.select("ingest_seq", F.explode(kept).alias("w"))
 
 
 def bad_lines(decoded: DataFrame, dataset: str) -> DataFrame:
     """Lines that could not be used, for the quarantine table."""
-    return decoded.filter(F.col("reason").isNotNull()).select(
-        F.lit(dataset).alias("dataset"), "ingest_seq", "reason", excerpt(F.col("raw")).alias("excerpt")
-    )
+    rejected = F.when(F.col("reason").isNotNull(), F.array(
+        F.struct("reason", excerpt(F.col("raw")).alias("excerpt"))
+    ))
+    return decoded.select(F.lit(dataset).alias("dataset"), "ingest_seq", F.inline(rejected))
 
 
 def require_document_id(events: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from planewatch import constants as K
 from planewatch.operators.detections import TRACE, USER, mentions_in_order
@@ -12,6 +12,12 @@ from planewatch.operators.detections import TRACE, USER, mentions_in_order
 HOUR = "1 hour"
 
 
+def _seen(condition: Column) -> Column:
+    """A condition that stays above the watermark. Otherwise Spark filters first, the watermark
+    moves only with the rows a rule looks for, and a rare event is reported when the next comes."""
+    return F.when(F.col("event_ts").isNotNull(), condition)
+
+
 def _per_hour(found: DataFrame, *keys: str) -> DataFrame:
     """Distinct values per hour. A stream has no count-distinct, so it is two groupings: one row
     per hour and value, then rows per hour. ``found`` has `kind` and `value` next to the keys."""
@@ -22,7 +28,7 @@ def _per_hour(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def hourly_blocks(gateway: DataFrame) -> DataFrame:
-    found = gateway.filter(F.col("event.action") == K.ACTION_BUDGET).select(
+    found = gateway.filter(_seen(F.col("event.action") == K.ACTION_BUDGET)).select(
         "event_ts", F.col("llm.key.alias").alias("key_alias"), F.lit("trace").alias("kind"), TRACE.alias("value")
     )
     return _per_hour(found, "key_alias").agg(F.count("value").alias("blocked_requests")).select(
@@ -36,7 +42,7 @@ def hourly_auth(gateway: DataFrame) -> DataFrame:
         F.struct(F.lit("key").alias("kind"), F.col("llm.key.hash").alias("value")),
         F.struct(F.lit("trace").alias("kind"), TRACE.alias("value")),
     )
-    found = gateway.filter(F.col("event.action") == K.ACTION_AUTH).select("event_ts", F.inline(both))
+    found = gateway.filter(_seen(F.col("event.action") == K.ACTION_AUTH)).select("event_ts", F.inline(both))
 
     def of(kind: str):
         return F.count(F.when(F.col("kind") == kind, F.col("value")))
@@ -48,7 +54,7 @@ def hourly_auth(gateway: DataFrame) -> DataFrame:
 
 def hourly_enforcement(gateway: DataFrame) -> DataFrame:
     action = F.col("event.action")
-    found = gateway.filter(action.isin(K.ACTION_BUDGET, K.ACTION_RATE)).select(
+    found = gateway.filter(_seen(action.isin(K.ACTION_BUDGET, K.ACTION_RATE))).select(
         "event_ts", action.alias("event_action"), F.lit("trace").alias("kind"), TRACE.alias("value")
     )
     return _per_hour(found, "event_action").agg(F.count("value").alias("requests")).select(
@@ -63,12 +69,12 @@ def unmatched(content: DataFrame, gateway: DataFrame, seconds: int = K.CORRELATI
     combined before the shuffle and keeps first and last start, which is enough to test the
     time bound exactly: a slot is narrower than the bound, so it cannot hold both of its ends.
     """
-    attempts = gateway.filter(TRACE.isNotNull()).groupBy(
+    attempts = gateway.filter(_seen(TRACE.isNotNull())).groupBy(
         F.window("event_ts", f"{seconds} seconds").alias("slot"), TRACE.alias("gateway_trace")
     ).agg(F.min("event_ts").alias("first_at"), F.max("event_ts").alias("last_at")).select(
         "gateway_trace", "first_at", "last_at", F.window_time("slot").alias("slot_ts")
     )
-    records = content.filter(TRACE.isNotNull()).select(TRACE.alias("content_trace"), F.col("event_ts").alias("content_ts"))
+    records = content.filter(_seen(TRACE.isNotNull())).select(TRACE.alias("content_trace"), F.col("event_ts").alias("content_ts"))
     bound = F.expr(f"INTERVAL {seconds} SECONDS")
     slot = F.expr(f"INTERVAL {2 * seconds} SECONDS")
     c = F.col
@@ -99,7 +105,9 @@ def sequence(content: DataFrame, gateway: DataFrame, span: int = K.SEQUENCE_SPAN
     step = 60
     if span % step:
         raise ValueError("span must be whole minutes")
-    attempts = content.filter(USER.isNotNull() & mentions_in_order(F.col("llm.user_prompt"), words)).groupBy(
+    attempts = content.filter(
+        _seen(USER.isNotNull() & mentions_in_order(F.col("llm.user_prompt"), words))
+    ).groupBy(
         F.window("event_ts", f"{step} seconds").alias("minute"), USER.alias("attempt_user")
     ).agg(F.min("event_ts").alias("first_at"), F.max("event_ts").alias("last_at"))
     first_slice = F.expr(f"unix_seconds(minute.start) div {span}")
@@ -107,7 +115,7 @@ def sequence(content: DataFrame, gateway: DataFrame, span: int = K.SEQUENCE_SPAN
         "attempt_user", "first_at", "last_at", F.window_time("minute").alias("minute_ts"),
         F.explode(F.array(first_slice, first_slice + 1)).alias("attempt_slice"),
     )
-    failures = gateway.filter(USER.isNotNull() & (F.col("event.outcome") == K.FAILURE)).select(
+    failures = gateway.filter(_seen(USER.isNotNull() & (F.col("event.outcome") == K.FAILURE))).select(
         USER.alias("user_id"), F.col("document_id").alias("request_id"), TRACE.alias("trace_id"),
         F.col("event_ts").alias("failed_at"), F.expr(f"unix_seconds(event_ts) div {span}").alias("slice"),
     )
