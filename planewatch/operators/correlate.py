@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from planewatch import constants as K
 from planewatch.operators.detections import (
-    COST, IN_TOKENS, OUT_TOKENS, START, TRACE, USER, content_only, gateway_only, hour_of,
+    cost_usd, input_tokens, output_tokens, event_start, trace_id, user_id, content_only, gateway_only, hour_of,
 )
 
 
 def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    content = content_only(docs).filter(TRACE.isNotNull()).select(
-        TRACE.alias("trace_id"), START.alias("content_start"), F.col("event.outcome").alias("content_outcome"),
-        USER.alias("content_user"), F.col("gen_ai.response.id").alias("content_response_id"),
+    content = content_only(docs).filter(trace_id().isNotNull()).select(
+        trace_id().alias("trace_id"), event_start().alias("content_start"), F.col("event.outcome").alias("content_outcome"),
+        user_id().alias("content_user"), F.col("gen_ai.response.id").alias("content_response_id"),
     )
     gateway = gateway_only(docs).select(
-        TRACE.alias("trace_id"), F.col("document_id").alias("request_id"), START.alias("gateway_start"),
+        trace_id().alias("trace_id"), F.col("document_id").alias("request_id"), event_start().alias("gateway_start"),
         F.col("event.outcome").alias("gateway_outcome"), F.col("event.action").alias("gateway_action"),
         F.col("gen_ai.response.id").alias("gateway_response_id"),
     )
@@ -65,33 +65,33 @@ def resolve_request(docs: DataFrame) -> DataFrame:
     Attempts are grouped to one row per trace id first (combined before the shuffle), so the full
     outer join meets at most one row per side: a trace id with very many attempts cannot pile up.
     """
-    order = F.struct(START.alias("at"), F.col("document_id").alias("id"))
+    order = F.struct(event_start().alias("at"), F.col("document_id").alias("id"))
     outcome, served, asked = F.col("event.outcome"), F.col("gen_ai.response.model"), F.col("gen_ai.request.model")
     known_system = F.when(F.col("gen_ai.system") != K.UNKNOWN_PROVIDER, F.col("gen_ai.system"))
 
     def last(value: Column) -> Column:
         return F.max(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))["v"]
 
-    gateway = gateway_only(docs).filter(TRACE.isNotNull()).groupBy(TRACE.alias("trace_id")).agg(
+    gateway = gateway_only(docs).filter(trace_id().isNotNull()).groupBy(trace_id().alias("trace_id")).agg(
         F.count(F.lit(1)).alias("attempts"),
         F.when(F.bool_or(outcome == K.SUCCESS), F.lit(K.SUCCESS))
         .when(F.bool_or(outcome == K.FAILURE), F.lit(K.FAILURE)).alias("gateway_outcome"),
-        F.sum(COST).alias("gateway_cost"),
-        F.sum(IN_TOKENS).alias("gateway_input_tokens"),
-        F.sum(OUT_TOKENS).alias("gateway_output_tokens"),
+        F.sum(cost_usd()).alias("gateway_cost"),
+        F.sum(input_tokens()).alias("gateway_input_tokens"),
+        F.sum(output_tokens()).alias("gateway_output_tokens"),
         last(served).alias("gateway_model"),
         last(asked).alias("gateway_requested"),
         last(known_system).alias("gateway_system"),
-        last(USER).alias("gateway_user"),
-        F.min(START).alias("gateway_start"),
+        last(user_id()).alias("gateway_user"),
+        F.min(event_start()).alias("gateway_start"),
     )
-    content = content_only(docs).filter(TRACE.isNotNull()).select(
-        TRACE.alias("trace_id"), F.lit(True).alias("has_content"), outcome.alias("content_outcome"),
-        COST.alias("content_cost"), IN_TOKENS.alias("content_input_tokens"),
-        OUT_TOKENS.alias("content_output_tokens"), served.alias("content_model"),
+    content = content_only(docs).filter(trace_id().isNotNull()).select(
+        trace_id().alias("trace_id"), F.lit(True).alias("has_content"), outcome.alias("content_outcome"),
+        cost_usd().alias("content_cost"), input_tokens().alias("content_input_tokens"),
+        output_tokens().alias("content_output_tokens"), served.alias("content_model"),
         asked.alias("content_requested"), known_system.alias("content_system"),
-        USER.alias("content_user"), F.col("session.id").alias("session_id"),
-        START.alias("content_start"), F.col("llm.user_prompt").alias("user_prompt"),
+        user_id().alias("content_user"), F.col("session.id").alias("session_id"),
+        event_start().alias("content_start"), F.col("llm.user_prompt").alias("user_prompt"),
         F.col("llm.output").alias("output"),
     )
     return gateway.join(content, "trace_id", "full_outer").select(
@@ -148,9 +148,9 @@ def crosscheck_coverage(docs: DataFrame) -> DataFrame:
 def attempts_per_request(docs: DataFrame) -> DataFrame:
     """Attempts per request and hour; a jump is a retry storm."""
     return (
-        gateway_only(docs).filter(TRACE.isNotNull() & START.isNotNull())
-        .groupBy(hour_of(START).alias("hour"))
-        .agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct(TRACE).alias("requests"))
+        gateway_only(docs).filter(trace_id().isNotNull() & event_start().isNotNull())
+        .groupBy(hour_of(event_start()).alias("hour"))
+        .agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct(trace_id()).alias("requests"))
         .withColumn("attempts_per_request", F.col("attempts") / F.col("requests"))
     )
 
@@ -159,6 +159,6 @@ def forged_health_tag(docs: DataFrame) -> DataFrame:
     """Attempts that carry the health-check tag although a real account was billed. The proxy's
     own checks are gone by the time documents exist, so what still has the tag forged it."""
     return gateway_only(docs).filter(F.array_contains("tags", K.HEALTH_MARKER)).select(
-        F.col("document_id").alias("request_id"), TRACE.alias("trace_id"), USER.alias("user_id"),
+        F.col("document_id").alias("request_id"), trace_id().alias("trace_id"), user_id().alias("user_id"),
         F.col("llm.key.alias").alias("key_alias"),
     )

@@ -14,9 +14,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planewatch import constants as K
 
-TRACE, USER, START = F.col("trace.id"), F.col("user.id"), F.col("event.start")
-IN_TOKENS, OUT_TOKENS = F.col("gen_ai.usage.input_tokens"), F.col("gen_ai.usage.output_tokens")
-COST = F.col("llm.total_cost_usd")
+
+def trace_id() -> Column:
+    return F.col("trace.id")
+
+
+def user_id() -> Column:
+    return F.col("user.id")
+
+
+def event_start() -> Column:
+    return F.col("event.start")
+
+
+def input_tokens() -> Column:
+    return F.col("gen_ai.usage.input_tokens")
+
+
+def output_tokens() -> Column:
+    return F.col("gen_ai.usage.output_tokens")
+
+
+def cost_usd() -> Column:
+    return F.col("llm.total_cost_usd")
+
 
 
 def content_only(docs: DataFrame) -> DataFrame:
@@ -30,9 +51,9 @@ def gateway_only(docs: DataFrame) -> DataFrame:
 def in_window(docs: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Half-open window on `event.start`; the day partition is cut as well."""
     if start is not None:
-        docs = docs.filter((START >= F.lit(start)) & (F.col("event_date") >= F.lit(start.date())))
+        docs = docs.filter((event_start() >= F.lit(start)) & (F.col("event_date") >= F.lit(start.date())))
     if end is not None:
-        docs = docs.filter((START < F.lit(end)) & (F.col("event_date") <= F.lit(end.date())))
+        docs = docs.filter((event_start() < F.lit(end)) & (F.col("event_date") <= F.lit(end.date())))
     return docs
 
 
@@ -50,7 +71,7 @@ def without_provider(model: Column) -> Column:
 def canary_output(docs: DataFrame, canary: str = K.CANARY) -> DataFrame:
     """The model said the planted secret. Exact case, answers only."""
     return content_only(docs).filter(F.contains(F.col("llm.output"), F.lit(canary))).select(
-        TRACE.alias("trace_id"), USER.alias("user_id"), START.alias("event_start")
+        trace_id().alias("trace_id"), user_id().alias("user_id"), event_start().alias("event_start")
     )
 
 
@@ -68,7 +89,7 @@ def mentions_in_order(text: Column, words: Iterable[str]) -> Column:
 
 def injection_phrase(docs: DataFrame, words: Iterable[str] = K.INJECTION_WORDS) -> DataFrame:
     return content_only(docs).filter(mentions_all(F.col("llm.user_prompt"), words)).select(
-        TRACE.alias("trace_id"), USER.alias("user_id"), START.alias("event_start")
+        trace_id().alias("trace_id"), user_id().alias("user_id"), event_start().alias("event_start")
     )
 
 
@@ -76,7 +97,7 @@ def short_output(docs: DataFrame, limit: int = K.SHORT_OUTPUT_BYTES) -> DataFram
     """Refused requests have an empty output and match too; `short_output_rate` leaves them out."""
     length = F.col("llm.output_length")
     return content_only(docs).filter(length < limit).select(
-        TRACE.alias("trace_id"), USER.alias("user_id"), F.col("event.outcome").alias("outcome"),
+        trace_id().alias("trace_id"), user_id().alias("user_id"), F.col("event.outcome").alias("outcome"),
         length.alias("output_length"),
     )
 
@@ -86,14 +107,14 @@ def short_output_rate(docs: DataFrame, limit: int = K.SHORT_OUTPUT_BYTES) -> Dat
     hits = content_only(docs).filter(
         (F.col("llm.output_length") < limit) & (F.col("event.outcome") == K.SUCCESS)
     )
-    return hits.groupBy(USER.alias("user_id"), hour_of(START).alias("hour")).agg(
-        F.count_distinct(TRACE).alias("short_outputs")
+    return hits.groupBy(user_id().alias("user_id"), hour_of(event_start()).alias("hour")).agg(
+        F.count_distinct(trace_id()).alias("short_outputs")
     )
 
 
 def token_sum_user(docs: DataFrame) -> DataFrame:
-    return content_only(docs).filter(USER.isNotNull()).groupBy(USER.alias("user_id")).agg(
-        F.sum(IN_TOKENS).alias("input_tokens"), F.sum(OUT_TOKENS).alias("output_tokens")
+    return content_only(docs).filter(user_id().isNotNull()).groupBy(user_id().alias("user_id")).agg(
+        F.sum(input_tokens()).alias("input_tokens"), F.sum(output_tokens()).alias("output_tokens")
     )
 
 
@@ -106,9 +127,9 @@ def token_spike(docs: DataFrame, factor: float = K.SPIKE_FACTOR, history: int =
     """
     hourly = (
         content_only(docs)
-        .filter(USER.isNotNull() & IN_TOKENS.isNotNull() & OUT_TOKENS.isNotNull() & START.isNotNull())
-        .groupBy(USER.alias("user_id"), hour_of(START).alias("hour"))
-        .agg(F.sum(IN_TOKENS + OUT_TOKENS).alias("tokens"))
+        .filter(user_id().isNotNull() & input_tokens().isNotNull() & output_tokens().isNotNull() & event_start().isNotNull())
+        .groupBy(user_id().alias("user_id"), hour_of(event_start()).alias("hour"))
+        .agg(F.sum(input_tokens() + output_tokens()).alias("tokens"))
     )
     before = (
         Window.partitionBy("user_id").orderBy(F.unix_seconds("hour")).rangeBetween(-history, -1)
@@ -119,16 +140,16 @@ def token_spike(docs: DataFrame, factor: float = K.SPIKE_FACTOR, history: int =
 
 def token_ratio(docs: DataFrame, ratio: float = K.TOKEN_RATIO) -> DataFrame:
     """Long answers to short prompts; needs both counts and a positive input."""
-    value = F.when(IN_TOKENS > 0, F.try_divide(OUT_TOKENS.cast("double"), IN_TOKENS.cast("double")))
+    value = F.when(input_tokens() > 0, F.try_divide(output_tokens().cast("double"), input_tokens().cast("double")))
     return content_only(docs).select(
-        TRACE.alias("trace_id"), USER.alias("user_id"), value.alias("token_ratio")
+        trace_id().alias("trace_id"), user_id().alias("user_id"), value.alias("token_ratio")
     ).filter(F.col("token_ratio") > ratio)
 
 
 def cost_per_session(docs: DataFrame) -> DataFrame:
     session = F.col("session.id")
     return content_only(docs).filter(session.isNotNull()).groupBy(session.alias("session_id")).agg(
-        F.sum(COST).alias("total_cost_usd")
+        F.sum(cost_usd()).alias("total_cost_usd")
     )
 
 
@@ -142,7 +163,7 @@ def model_routing(docs: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
     for requested, names in expected.items():
         odd = odd | ((asked == requested) & ~F.coalesce(served.isin(list(names)), F.lit(False)))
     return gateway_only(docs).filter((F.col("event.outcome") == K.SUCCESS) & odd).select(
-        F.col("document_id").alias("request_id"), TRACE.alias("trace_id"),
+        F.col("document_id").alias("request_id"), trace_id().alias("trace_id"),
         asked.alias("requested_model"), served.alias("served_model"),
     )
 
@@ -150,20 +171,20 @@ def model_routing(docs: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
 def budget_blocks(docs: DataFrame) -> DataFrame:
     """Requests refused over budget per hour and key alias."""
     return (
-        gateway_only(docs).filter((F.col("event.action") == K.ACTION_BUDGET) & START.isNotNull())
-        .groupBy(hour_of(START).alias("hour"), F.col("llm.key.alias").alias("key_alias"))
-        .agg(F.count_distinct(TRACE).alias("blocked_requests"))
+        gateway_only(docs).filter((F.col("event.action") == K.ACTION_BUDGET) & event_start().isNotNull())
+        .groupBy(hour_of(event_start()).alias("hour"), F.col("llm.key.alias").alias("key_alias"))
+        .agg(F.count_distinct(trace_id()).alias("blocked_requests"))
     )
 
 
 def auth_clusters(docs: DataFrame) -> DataFrame:
     """Per hour: how many different keys failed, in how many requests."""
     return (
-        gateway_only(docs).filter((F.col("event.action") == K.ACTION_AUTH) & START.isNotNull())
-        .groupBy(hour_of(START).alias("hour"))
+        gateway_only(docs).filter((F.col("event.action") == K.ACTION_AUTH) & event_start().isNotNull())
+        .groupBy(hour_of(event_start()).alias("hour"))
         .agg(
             F.count_distinct(F.col("llm.key.hash")).alias("distinct_keys_tried"),
-            F.count_distinct(TRACE).alias("attempts"),
+            F.count_distinct(trace_id()).alias("attempts"),
         )
     )
 
@@ -173,7 +194,7 @@ def enforcement_type(docs: DataFrame) -> DataFrame:
     action = F.col("event.action")
     return gateway_only(docs).filter(action.isin(K.ACTION_BUDGET, K.ACTION_RATE)).groupBy(
         action.alias("event_action")
-    ).agg(F.count_distinct(TRACE).alias("requests"))
+    ).agg(F.count_distinct(trace_id()).alias("requests"))
 
 
 # ------------------------------------------------------- cross-plane rules
@@ -190,18 +211,18 @@ def attempt_then_block(docs: DataFrame, span: int = K.SEQUENCE_SPAN,
     """
     slices = 3
     width = -(-span // slices)
-    micros = F.unix_micros(START)
-    base = docs.filter(USER.isNotNull() & START.isNotNull())
+    micros = F.unix_micros(event_start())
+    base = docs.filter(user_id().isNotNull() & event_start().isNotNull())
     attempts = content_only(base).filter(mentions_in_order(F.col("llm.user_prompt"), words)).select(
-        USER.alias("user_id"), micros.alias("at"), F.lit(1).alias("kind"),
-        F.struct(micros.alias("at"), TRACE.alias("trace_id")).alias("attempt"),
+        user_id().alias("user_id"), micros.alias("at"), F.lit(1).alias("kind"),
+        F.struct(micros.alias("at"), trace_id().alias("trace_id")).alias("attempt"),
         F.lit(None).cast("string").alias("request_id"),
         F.lit(None).cast("string").alias("trace_id"),
     )
     failures = gateway_only(base).filter(F.col("event.outcome") == K.FAILURE).select(
-        USER.alias("user_id"), micros.alias("at"), F.lit(0).alias("kind"),
+        user_id().alias("user_id"), micros.alias("at"), F.lit(0).alias("kind"),
         F.lit(None).cast("struct<at:bigint,trace_id:string>").alias("attempt"),
-        F.col("document_id").alias("request_id"), TRACE.alias("trace_id"),
+        F.col("document_id").alias("request_id"), trace_id().alias("trace_id"),
     )
     piece = F.expr(f"at div {width * 1000000}")
     attempts, failures = attempts.withColumn("piece", piece), failures.withColumn("piece", piece)
@@ -236,8 +257,8 @@ def content_without_gateway(docs: DataFrame, baseline: DataFrame, start: datetim
     against the other.
     """
     window = in_window(docs, start, end)
-    seen = window.filter(TRACE.isNotNull()).select(
-        TRACE.alias("trace_id"), (F.col("dataset") == K.CONTENT).alias("content")
+    seen = window.filter(trace_id().isNotNull()).select(
+        trace_id().alias("trace_id"), (F.col("dataset") == K.CONTENT).alias("content")
     )
     known = baseline.select("trace_id", F.lit(False).alias("content"))
     return (
@@ -252,12 +273,12 @@ def content_without_gateway(docs: DataFrame, baseline: DataFrame, start: datetim
 def cost_disagreement(docs: DataFrame, tolerance: float = K.COST_TOLERANCE) -> DataFrame:
     """Requests whose cost differs between the planes, relative to the larger one."""
     def side(dataset: str) -> Column:
-        return F.sum(F.when(F.col("dataset") == dataset, COST))
+        return F.sum(F.when(F.col("dataset") == dataset, cost_usd()))
 
     gateway, content = F.col("gateway_cost"), F.col("content_cost")
     return (
-        docs.filter(TRACE.isNotNull() & COST.isNotNull())
-        .groupBy(TRACE.alias("trace_id"))
+        docs.filter(trace_id().isNotNull() & cost_usd().isNotNull())
+        .groupBy(trace_id().alias("trace_id"))
         .agg(side(K.GATEWAY).alias("gateway_cost"), side(K.CONTENT).alias("content_cost"))
         .filter((gateway > 0) & (content > 0))
         .withColumn("difference", F.abs(gateway - content) / F.greatest(gateway, content))
@@ -271,12 +292,12 @@ def model_disagreement(docs: DataFrame) -> DataFrame:
     served = F.col("gen_ai.response.model")
 
     def side(dataset: str) -> Column:
-        order = F.struct(START.alias("at"), F.col("document_id").alias("id"))
+        order = F.struct(event_start().alias("at"), F.col("document_id").alias("id"))
         return F.max(F.when(F.col("dataset") == dataset, F.struct(order.alias("o"), served.alias("model"))))["model"]
 
     return (
-        docs.filter(TRACE.isNotNull() & served.isNotNull())
-        .groupBy(TRACE.alias("trace_id"))
+        docs.filter(trace_id().isNotNull() & served.isNotNull())
+        .groupBy(trace_id().alias("trace_id"))
         .agg(side(K.GATEWAY).alias("gateway_model"), side(K.CONTENT).alias("content_model"))
         .filter(without_provider(F.col("gateway_model")) != without_provider(F.col("content_model")))
     )
@@ -290,12 +311,12 @@ def _prompt_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     attempts shrinks to its few keys.
     """
     prompt = F.col("llm.user_prompt")
-    prompts = content_only(docs).filter(TRACE.isNotNull() & (F.char_length(prompt) > min_chars)).select(
-        TRACE.alias("trace_id"), F.sha2(prompt, 256).alias("prompt_sha256"),
-        F.char_length(prompt).cast("bigint").alias("prompt_chars"), USER.alias("user_id"),
+    prompts = content_only(docs).filter(trace_id().isNotNull() & (F.char_length(prompt) > min_chars)).select(
+        trace_id().alias("trace_id"), F.sha2(prompt, 256).alias("prompt_sha256"),
+        F.char_length(prompt).cast("bigint").alias("prompt_chars"), user_id().alias("user_id"),
     )
-    keys = gateway_only(docs).filter(TRACE.isNotNull() & F.col("llm.key.hash").isNotNull()).select(
-        TRACE.alias("trace_id"), F.col("llm.key.hash").alias("key_hash")
+    keys = gateway_only(docs).filter(trace_id().isNotNull() & F.col("llm.key.hash").isNotNull()).select(
+        trace_id().alias("trace_id"), F.col("llm.key.hash").alias("key_hash")
     ).distinct()
     return prompts.join(keys, "trace_id")
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planewatch import constants as K
-from planewatch.operators.detections import START, TRACE, in_window
+from planewatch.operators.detections import event_start, trace_id, in_window
 
 
 def join_health_lag(fetch_interval: timedelta, index_interval: timedelta) -> timedelta:
@@ -24,7 +24,7 @@ def lag_seconds(fetch: Column, index: Column) -> Column:
 def _plane_rows(docs: DataFrame, *extra: Column) -> DataFrame:
     is_gateway = F.col("dataset") == K.GATEWAY
     return docs.select(
-        *extra, TRACE.alias("trace_id"),
+        *extra, trace_id().alias("trace_id"),
         F.when(is_gateway, 0).otherwise(1).cast("bigint").alias("content"),
         F.when(is_gateway, 1).otherwise(0).cast("bigint").alias("gateway"),
         F.lit(False).alias("expected"),
@@ -107,8 +107,8 @@ def join_health_series(docs: DataFrame, baseline: DataFrame, period_seconds: int
     # Slot s holds the starts t with floor((t + lag) / period) = s. The window of tick k (at
     # k * period) is made of the slots k - reach .. k - 1.
     micros = 1000000
-    slot = F.floor((F.unix_micros(START) + lag_seconds * micros) / F.lit(period_seconds * micros)).cast("bigint")
-    slots = _per_id(_plane_rows(docs.filter(START.isNotNull()), slot.alias("slot")), "slot")
+    slot = F.floor((F.unix_micros(event_start()) + lag_seconds * micros) / F.lit(period_seconds * micros)).cast("bigint")
+    slots = _per_id(_plane_rows(docs.filter(event_start().isNotNull()), slot.alias("slot")), "slot")
     copies = slots.select(
         F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + reach)).alias("tick"),
         "trace_id", "content", "gateway", "expected",

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from planewatch import constants as K
 from planewatch import schemas as S
-from planewatch.operators.detections import TRACE, USER, gateway_only
+from planewatch.operators.detections import trace_id, user_id, gateway_only
 
 
 def schema_parity(content: T.StructType, gateway: T.StructType) -> list[str]:
@@ -102,7 +102,7 @@ def join_key_fanout(docs: DataFrame, more_than: int) -> DataFrame:
     """Trace ids with unusually many attempts. A constant id joins everything and looks healthy.
     Attempts are combined before the shuffle, so that very id costs nothing extra here."""
     return (
-        gateway_only(docs).filter(TRACE.isNotNull()).groupBy(TRACE.alias("trace_id"))
-        .agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct(USER).alias("distinct_users"))
+        gateway_only(docs).filter(trace_id().isNotNull()).groupBy(trace_id().alias("trace_id"))
+        .agg(F.count(F.lit(1)).alias("attempts"), F.count_distinct(user_id()).alias("distinct_users"))
         .filter(F.col("attempts") > more_than)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from planewatch.operators.detections import TRACE, content_only
+from planewatch.operators.detections import trace_id, content_only
 
 
 def detection_scorecard(docs: DataFrame, hits: dict[str, DataFrame]) -> DataFrame:
@@ -16,8 +16,8 @@ def detection_scorecard(docs: DataFrame, hits: dict[str, DataFrame]) -> DataFram
     """
     names = list(hits)
     label = F.coalesce(F.col("labels.scenario_outcome"), F.lit("unlabelled"))
-    rows = content_only(docs).filter(TRACE.isNotNull()).select(
-        TRACE.alias("trace_id"), label.alias("label"), *[F.lit(False).alias(n) for n in names]
+    rows = content_only(docs).filter(trace_id().isNotNull()).select(
+        trace_id().alias("trace_id"), label.alias("label"), *[F.lit(False).alias(n) for n in names]
     )
     for name in names:
         rows = rows.unionByName(hits[name].filter("trace_id IS NOT NULL").select(

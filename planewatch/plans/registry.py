@@ -171,7 +171,7 @@ def drop_health_checks(spark, sf_dir):
 @query("dataset_view")
 def dataset_view(spark, sf_dir):
     return documents(spark, sf_dir).select(
-        "dataset", "document_id", R.TRACE.alias("trace_id"), R.START.alias("event_start"),
+        "dataset", "document_id", R.trace_id().alias("trace_id"), R.event_start().alias("event_start"),
         F.col("event.outcome").alias("outcome"), F.col("llm.output_length").alias("output_length"),
         F.col("http.response.status_code").alias("status_code"), F.col("llm.key.alias").alias("key_alias"),
     )
@@ -295,23 +295,21 @@ def _gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir, K.GATEWAY)
 
 
-def _gateway_query(name: str, *columns: str | Column) -> None:
+def _gateway_query(name: str, *columns: str) -> None:
     @query(name)
     def run(spark, sf_dir):
-        return _gateway(spark, sf_dir).select(F.col("document_id").alias("request_id"), *columns)
+        return _gateway(spark, sf_dir).selectExpr("document_id AS request_id", *columns)
 
 
-_gateway_query(
-    "parse_gateway", "call_id", "key_alias", "key_hash", "team_id", "provider", "call_type", "requester_ip"
-)
+_gateway_query("parse_gateway", "call_id", "key_alias", "key_hash", "team_id", "provider", "call_type", "requester_ip")
 _gateway_query("join_key", "trace_id")
 _gateway_query("trusted_session", "status", "session_id")
 _gateway_query("gateway_user", "user_id")
-_gateway_query("gateway_times", F.col("start_ts").alias("event_start"), F.col("end_ts").alias("event_end"), "duration_ns")
+_gateway_query("gateway_times", "start_ts AS event_start", "end_ts AS event_end", "duration_ns")
 _gateway_query("gateway_status", "status", "status_message", "error_class", "error_code", "http_status")
 _gateway_query("gateway_models", "request_model", "response_model", "response_id")
-_gateway_query("absent_not_zero", "input_tokens", "output_tokens", _usd("cost").alias("cost"))
-_gateway_query("clean_tags", F.array_join("tags", ",").alias("tags"))
+_gateway_query("absent_not_zero", "input_tokens", "output_tokens", "round(cost, 9) AS cost")
+_gateway_query("clean_tags", "array_join(tags, ',') AS tags")
 _gateway_query("attempted_retries", "attempted_retries")
 
 
@@ -322,48 +320,38 @@ def gateway_health_check(spark, sf_dir):
 
 # ------------------------------------------------------ D: document derivation
 
-def _document_query(name: str, *columns: Column, dataset: str | None = None) -> None:
+def _document_query(name: str, *columns: str, dataset: str | None = None) -> None:
     @query(name)
     def run(spark, sf_dir):
-        return documents(spark, sf_dir, dataset).select("dataset", "document_id", *columns)
-
+        return documents(spark, sf_dir, dataset).selectExpr("dataset", "document_id", *columns)
 
-def _c(path: str, alias: str) -> Column:
-    return F.col(path).alias(alias)
 
-
-_document_query(
-    "common_fields", F.col("ts"), _c("schema_version", "schema_version"), _c("event.kind", "kind"),
-    _c("event.module", "module"), _c("event.outcome", "outcome"), _c("event.start", "event_start"),
-    _c("event.end", "event_end"), _c("event.ingested", "ingested"), _c("event.duration", "duration_ns"),
-    _c("trace.id", "trace_id"), _c("session.id", "session_id"), _c("user.id", "user_id"),
-    _c("error.message", "error_message"), _c("event_date", "event_date"),
-)
-_document_query(
-    "last_message_by_role", F.md5("llm.system_prompt").alias("system_md5"), F.md5("llm.user_prompt").alias("user_md5"),
-    dataset=K.CONTENT,
-)
-_document_query("encode_messages", F.md5("llm.messages").alias("messages_md5"), dataset=K.CONTENT)
 _document_query(
-    "content_sizes", _c("llm.message_count", "message_count"), _c("llm.output_length", "output_length"),
-    dataset=K.CONTENT,
+    "common_fields", "ts", "schema_version", "event.kind AS kind", "event.module AS module", "event.outcome AS outcome",
+    "event.start AS event_start", "event.end AS event_end", "event.ingested AS ingested", "event.duration AS duration_ns",
+    "trace.id AS trace_id", "session.id AS session_id", "user.id AS user_id", "error.message AS error_message", "event_date",
 )
-_document_query("genai_system", _c("gen_ai.system", "system"))
-_document_query("genai_operation", _c("gen_ai.operation.name", "operation"))
-_document_query("event_types", F.array_join("event.type", ",").alias("event_types"), dataset=K.GATEWAY)
-_document_query("event_categories", F.array_join("event.category", ",").alias("event_categories"))
-_document_query("event_action", _c("event.action", "action"), dataset=K.GATEWAY)
-_document_query("related_users", F.array_join("related.user", ",").alias("related_users"))
 _document_query(
-    "null_groups",
-    *[F.col(g).isNotNull().alias(f"has_{g.split('.')[-1]}") for g in
-      ("trace", "session", "gen_ai.request", "gen_ai.response", "gen_ai.usage", "error", "http", "related")],
+    "last_message_by_role", "md5(llm.system_prompt) AS system_md5", "md5(llm.user_prompt) AS user_md5", dataset=K.CONTENT
 )
+_document_query("encode_messages", "md5(llm.messages) AS messages_md5", dataset=K.CONTENT)
 _document_query(
-    "gateway_has_no_content",
-    *[F.col(f"llm.{f}").isNull().alias(f"no_{f}") for f in
-      ("user_prompt", "output", "messages", "message_count", "output_length", "generation_count")],
+    "content_sizes", "llm.message_count AS message_count", "llm.output_length AS output_length", dataset=K.CONTENT
 )
+_document_query("genai_system", "gen_ai.system AS system")
+_document_query("genai_operation", "gen_ai.operation.name AS operation")
+_document_query("event_types", "array_join(event.type, ',') AS event_types", dataset=K.GATEWAY)
+_document_query("event_categories", "array_join(event.category, ',') AS event_categories")
+_document_query("event_action", "event.action AS action", dataset=K.GATEWAY)
+_document_query("related_users", "array_join(related.user, ',') AS related_users")
+_document_query("null_groups", *[
+    f"{g} IS NOT NULL AS has_{g.split('.')[-1]}"
+    for g in ("trace", "session", "gen_ai.request", "gen_ai.response", "gen_ai.usage", "error", "http", "related")
+])
+_document_query("gateway_has_no_content", *[
+    f"llm.{f} IS NULL AS no_{f}"
+    for f in ("user_prompt", "output", "messages", "message_count", "output_length", "generation_count")
+])
 
 
 @query("event_reference")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planewatch import constants as K
-from planewatch.operators.detections import TRACE, USER, mentions_in_order
+from planewatch.operators.detections import trace_id, user_id, mentions_in_order
 
 HOUR = "1 hour"
 
@@ -29,7 +29,7 @@ def _per_hour(found: DataFrame, *keys: str) -> DataFrame:
 
 def hourly_blocks(gateway: DataFrame) -> DataFrame:
     found = gateway.filter(_seen(F.col("event.action") == K.ACTION_BUDGET)).select(
-        "event_ts", F.col("llm.key.alias").alias("key_alias"), F.lit("trace").alias("kind"), TRACE.alias("value")
+        "event_ts", F.col("llm.key.alias").alias("key_alias"), F.lit("trace").alias("kind"), trace_id().alias("value")
     )
     return _per_hour(found, "key_alias").agg(F.count("value").alias("blocked_requests")).select(
         F.col("w.start").alias("hour"), "key_alias", "blocked_requests"
@@ -40,7 +40,7 @@ def hourly_auth(gateway: DataFrame) -> DataFrame:
     """Two distinct counts at once: both kinds of value go through the same two groupings."""
     both = F.array(
         F.struct(F.lit("key").alias("kind"), F.col("llm.key.hash").alias("value")),
-        F.struct(F.lit("trace").alias("kind"), TRACE.alias("value")),
+        F.struct(F.lit("trace").alias("kind"), trace_id().alias("value")),
     )
     found = gateway.filter(_seen(F.col("event.action") == K.ACTION_AUTH)).select("event_ts", F.inline(both))
 
@@ -55,7 +55,7 @@ def hourly_auth(gateway: DataFrame) -> DataFrame:
 def hourly_enforcement(gateway: DataFrame) -> DataFrame:
     action = F.col("event.action")
     found = gateway.filter(_seen(action.isin(K.ACTION_BUDGET, K.ACTION_RATE))).select(
-        "event_ts", action.alias("event_action"), F.lit("trace").alias("kind"), TRACE.alias("value")
+        "event_ts", action.alias("event_action"), F.lit("trace").alias("kind"), trace_id().alias("value")
     )
     return _per_hour(found, "event_action").agg(F.count("value").alias("requests")).select(
         F.col("w.start").alias("hour"), "event_action", "requests"
@@ -69,12 +69,12 @@ def unmatched(content: DataFrame, gateway: DataFrame, seconds: int = K.CORRELATI
     combined before the shuffle and keeps first and last start, which is enough to test the
     time bound exactly: a slot is narrower than the bound, so it cannot hold both of its ends.
     """
-    attempts = gateway.filter(_seen(TRACE.isNotNull())).groupBy(
-        F.window("event_ts", f"{seconds} seconds").alias("slot"), TRACE.alias("gateway_trace")
+    attempts = gateway.filter(_seen(trace_id().isNotNull())).groupBy(
+        F.window("event_ts", f"{seconds} seconds").alias("slot"), trace_id().alias("gateway_trace")
     ).agg(F.min("event_ts").alias("first_at"), F.max("event_ts").alias("last_at")).select(
         "gateway_trace", "first_at", "last_at", F.window_time("slot").alias("slot_ts")
     )
-    records = content.filter(_seen(TRACE.isNotNull())).select(TRACE.alias("content_trace"), F.col("event_ts").alias("content_ts"))
+    records = content.filter(_seen(trace_id().isNotNull())).select(trace_id().alias("content_trace"), F.col("event_ts").alias("content_ts"))
     bound = F.expr(f"INTERVAL {seconds} SECONDS")
     slot = F.expr(f"INTERVAL {2 * seconds} SECONDS")
     c = F.col
@@ -106,17 +106,17 @@ def sequence(content: DataFrame, gateway: DataFrame, span: int = K.SEQUENCE_SPAN
     if span % step:
         raise ValueError("span must be whole minutes")
     attempts = content.filter(
-        _seen(USER.isNotNull() & mentions_in_order(F.col("llm.user_prompt"), words))
+        _seen(user_id().isNotNull() & mentions_in_order(F.col("llm.user_prompt"), words))
     ).groupBy(
-        F.window("event_ts", f"{step} seconds").alias("minute"), USER.alias("attempt_user")
+        F.window("event_ts", f"{step} seconds").alias("minute"), user_id().alias("attempt_user")
     ).agg(F.min("event_ts").alias("first_at"), F.max("event_ts").alias("last_at"))
     first_slice = F.expr(f"unix_seconds(minute.start) div {span}")
     attempts = attempts.select(
         "attempt_user", "first_at", "last_at", F.window_time("minute").alias("minute_ts"),
         F.explode(F.array(first_slice, first_slice + 1)).alias("attempt_slice"),
     )
-    failures = gateway.filter(_seen(USER.isNotNull() & (F.col("event.outcome") == K.FAILURE))).select(
-        USER.alias("user_id"), F.col("document_id").alias("request_id"), TRACE.alias("trace_id"),
+    failures = gateway.filter(_seen(user_id().isNotNull() & (F.col("event.outcome") == K.FAILURE))).select(
+        user_id().alias("user_id"), F.col("document_id").alias("request_id"), trace_id().alias("trace_id"),
         F.col("event_ts").alias("failed_at"), F.expr(f"unix_seconds(event_ts) div {span}").alias("slice"),
     )
     c, whole, minute = F.col, F.expr(f"INTERVAL {span} SECONDS"), F.expr(f"INTERVAL {step} SECONDS")
