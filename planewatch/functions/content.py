@@ -15,32 +15,27 @@ from planewatch.functions.text import (
 )
 
 
-def _messages_from(items: Column) -> Column:
-    """Messages as (role, content) text, or NULL when any part is not text or the list is empty."""
-    usable = F.forall(items, lambda m: is_text_or_absent(m["role"]) & is_text_or_absent(m["content"]))
-    as_text = F.transform(
-        items,
-        lambda m: F.struct(
-            F.coalesce(text_of(m["role"]), F.lit("")).alias("role"),
-            F.coalesce(text_of(m["content"]), F.lit("")).alias("content"),
-        ),
-    )
-    return F.when(usable & (F.size(items) > 0), as_text)
+def _all_text(items: Column) -> Column:
+    return F.forall(items, lambda m: is_text_or_absent(m["role"]) & is_text_or_absent(m["content"]))
+
+
+def _as_text(items: Column) -> Column:
+    texts = F.transform(items, lambda m: F.struct(*[
+        F.coalesce(text_of(m[part]), F.lit("")).alias(part) for part in ("role", "content")
+    ]))
+    return F.when(F.size(items) > 0, texts)
 
 
 def messages(wrapped: Column, bare: Column) -> Column:
-    """``{"messages": [...]}`` first, a bare list second, otherwise none; order is kept.
+    """``{"messages": [...]}`` first, a bare list second, otherwise none; order is kept. A list
+    with a part that is not text counts as none, and so does an empty one.
 
     An explicit list inside the wrapper wins even when it is empty.
     """
+    inner, outer = wrapped["v"]["messages"], bare["v"]
     return F.when(
-        wrapped["v"]["messages"].isNotNull() & wrapped[S.CORRUPT].isNull()
-        & F.forall(
-            wrapped["v"]["messages"],
-            lambda m: is_text_or_absent(m["role"]) & is_text_or_absent(m["content"]),
-        ),
-        _messages_from(wrapped["v"]["messages"]),
-    ).when(bare[S.CORRUPT].isNull(), _messages_from(bare["v"]))
+        inner.isNotNull() & wrapped[S.CORRUPT].isNull() & _all_text(inner), _as_text(inner)
+    ).when(outer.isNotNull() & bare[S.CORRUPT].isNull() & _all_text(outer), _as_text(outer))
 
 
 def output_part(decoded: Column, name: str) -> Column:
@@ -154,43 +149,33 @@ def is_content_health_check(tags: Column) -> Column:
     return F.coalesce(F.array_contains(tags, K.HEALTH_MARKER), F.lit(False))
 
 
-def decode_content(lines: DataFrame) -> DataFrame:
-    """``(ingest_seq, raw)`` to the decoded wire record in ``w`` plus ``reason`` for bad lines."""
-    decoded = lines.withColumn(
-        "w", F.from_json("raw", S.CONTENT_WIRE, {"columnNameOfCorruptRecord": S.CORRUPT})
-    )
-    return decoded.withColumn("reason", bad_line_reason("id"))
-
+def decode_lines(lines: DataFrame, schema: str, id_field: str) -> DataFrame:
+    """``(raw, ingest_seq)`` to the wire record in ``w``, and in ``reason`` why a line is unusable."""
+    decoded = lines.withColumn("d", decode_part(F.col("raw"), schema))
+    w, bad = F.col("d")["v"], F.col("d")[S.CORRUPT]
+    reason = F.when(
+        bad.isNotNull() | ~is_text_or_absent(w[id_field]), F.lit("undecodable record")
+    ).when(blank_to_null(text_of(w[id_field])).isNull(), F.lit("record has no id"))
+    return decoded.select("raw", "ingest_seq", w.alias("w"), reason.alias("reason"))
 
-def bad_line_reason(id_field: str) -> Column:
-    """Why a line cannot be used, or NULL. Needs columns ``raw`` and ``w``.
 
-    ``from_json`` stops at the end of the first object. Text after it is found by shape, and
-    only lines of that shape are parsed a second time.
-    """
-    raw, w = F.col("raw"), F.col("w")
-    trailing = ~F.rtrim(F.regexp_replace(raw, r"\s+\z", "")).endswith("}") | (
-        raw.rlike(r"\}\s*[^\s,\]\}]") & F.try_parse_json(raw).isNull()
-    )
-    undecodable = w.isNull() | w[S.CORRUPT].isNotNull() | trailing
-    is_text = is_text_or_absent(w[id_field])
-    return (
-        F.when(undecodable | ~is_text, F.lit("undecodable record"))
-        .when(blank_to_null(text_of(w[id_field])).isNull(), F.lit("record has no id"))
-    )
+def decode_content(lines: DataFrame) -> DataFrame:
+    return decode_lines(lines, S.CONTENT_WIRE, "id")
 
 
 def content_parts(decoded: DataFrame) -> DataFrame:
     """The polymorphic parts of good lines, each decoded once: messages in both forms, the output,
-    the detailed observations."""
+    the detailed observations. Each decoded part gets a column before anything looks into it, or
+    every look would decode it again."""
     w = F.col("w")
-    return decoded.select(
+    parts = decoded.select(
         "ingest_seq", "w",
         F.when(w["input"].startswith("{"), decode_part(w["input"], S.WRAPPED_MESSAGES)).alias("wrapped"),
         F.when(w["input"].startswith("["), decode_part(w["input"], S.BARE_MESSAGES)).alias("bare"),
         F.when(w["output"].isNotNull(), decode_part(w["output"], S.OUTPUT_WIRE)).alias("out"),
-        observations(decode_part(w["observations"], S.OBSERVATION_WIRE)).alias("obs"),
+        decode_part(w["observations"], S.OBSERVATION_WIRE).alias("listed"),
     )
+    return parts.withColumn("obs", observations(F.col("listed")))
 
 
 def content_events(decoded: DataFrame) -> DataFrame:

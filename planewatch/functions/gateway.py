@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from planewatch import constants as K
 from planewatch import schemas as S
-from planewatch.functions.content import bad_line_reason
+from planewatch.functions.content import decode_lines
 from planewatch.functions.text import blank_to_null, first_given, non_empty, text_of, utc_time
 
 
@@ -46,10 +46,7 @@ def clean_tags(tags: Column) -> Column:
 
 
 def decode_gateway(lines: DataFrame) -> DataFrame:
-    decoded = lines.withColumn(
-        "w", F.from_json("raw", S.GATEWAY_WIRE, {"columnNameOfCorruptRecord": S.CORRUPT})
-    )
-    return decoded.withColumn("reason", bad_line_reason("request_id"))
+    return decode_lines(lines, S.GATEWAY_WIRE, "request_id")
 
 
 def gateway_events(decoded: DataFrame) -> DataFrame:

@@ -39,8 +39,11 @@ def is_text_or_absent(variant: Column) -> Column:
 
 
 def decode_part(raw: Column, schema: str) -> Column:
-    """Decode a polymorphic JSON part strictly: one value of a wrong type and the whole part
-    is NULL. The part is wrapped in an object because only objects report bad fields."""
+    """Decode a JSON value strictly: one member of a wrong type and `CORRUPT` is set.
+
+    The value is wrapped in an object. Only objects report bad fields, and text after the end of
+    the value breaks the wrapper, where `from_json` alone would stop reading and not notice.
+    """
     return F.from_json(
         F.concat(F.lit('{"v":'), raw, F.lit("}")), schema, {"columnNameOfCorruptRecord": CORRUPT}
     )

@@ -6,14 +6,17 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- wire records
 # Only the fields that are read. Identifiers and message parts are VARIANT so that a number
-# is not mistaken for text; polymorphic parts stay raw JSON (STRING) for a second look.
+# is not mistaken for text; polymorphic parts stay raw JSON (STRING) for a second look. Every
+# value is decoded inside a wrapper object `{"v": ...}`, see `functions.text.decode_part`.
 
 CORRUPT = "_bad"
 
 CONTENT_WIRE = f"""
-    id VARIANT, projectId STRING, timestamp STRING, name STRING, input STRING, output STRING,
-    sessionId STRING, userId STRING, tags ARRAY<STRING>, environment STRING, htmlPath STRING,
-    latency DOUBLE, totalCost DOUBLE, createdAt STRING, observations STRING, {CORRUPT} STRING
+    v STRUCT<
+        id: VARIANT, projectId: STRING, timestamp: STRING, name: STRING, input: STRING, output: STRING,
+        sessionId: STRING, userId: STRING, tags: ARRAY<STRING>, environment: STRING, htmlPath: STRING,
+        latency: DOUBLE, totalCost: DOUBLE, createdAt: STRING, observations: STRING>,
+    {CORRUPT} STRING
 """
 
 MESSAGE_LIST = "ARRAY<STRUCT<role: VARIANT, content: VARIANT>>"
@@ -32,17 +35,18 @@ OBSERVATION_WIRE = f"""
 """
 
 GATEWAY_WIRE = f"""
-    request_id VARIANT, call_type STRING, api_key STRING, spend DOUBLE, prompt_tokens BIGINT,
-    completion_tokens BIGINT, startTime STRING, endTime STRING, request_duration_ms BIGINT,
-    model STRING, model_group STRING, custom_llm_provider STRING, user STRING, end_user STRING,
-    team_id STRING, session_id STRING, requester_ip_address STRING,
-    request_tags ARRAY<STRING>, status STRING,
-    metadata STRUCT<
-        spend_logs_metadata: STRUCT<trace_id: VARIANT>,
-        user_api_key_alias: STRING, user_api_key: STRING, user_api_key_user_id: STRING,
-        user_api_key_team_id: STRING, litellm_call_id: STRING, requester_ip_address: STRING,
-        error_information: STRUCT<error_code: STRING, error_class: STRING, error_message: STRING>,
-        usage_object: STRING, cost_breakdown: STRING, attempted_retries: BIGINT>,
+    v STRUCT<
+        request_id: VARIANT, call_type: STRING, api_key: STRING, spend: DOUBLE, prompt_tokens: BIGINT,
+        completion_tokens: BIGINT, startTime: STRING, endTime: STRING, request_duration_ms: BIGINT,
+        model: STRING, model_group: STRING, custom_llm_provider: STRING, user: STRING, end_user: STRING,
+        team_id: STRING, session_id: STRING, requester_ip_address: STRING,
+        request_tags: ARRAY<STRING>, status: STRING,
+        metadata: STRUCT<
+            spend_logs_metadata: STRUCT<trace_id: VARIANT>,
+            user_api_key_alias: STRING, user_api_key: STRING, user_api_key_user_id: STRING,
+            user_api_key_team_id: STRING, litellm_call_id: STRING, requester_ip_address: STRING,
+            error_information: STRUCT<error_code: STRING, error_class: STRING, error_message: STRING>,
+            usage_object: STRING, cost_breakdown: STRING, attempted_retries: BIGINT>>,
     {CORRUPT} STRING
 """
 

@@ -12,7 +12,7 @@ from planewatch import schemas as S
 
 
 def is_blank(raw: Column) -> Column:
-    return raw.rlike(r"\A\s*\z")
+    return ~raw.rlike(r"\S")
 
 
 # ------------------------------------------------------------------ scanning
