@@ -23,26 +23,28 @@ def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return content, gateway
 
 
+def spread_nulls(key: Column, unique: Column) -> Column:
+    """A join key for rows that may have none. Rows without one get a value of their own that no
+    real id can equal: they match nothing, as before, but no longer meet in a single task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), unique))
+
+
 def correlate(docs: DataFrame) -> DataFrame:
     """Full outer match, one row per attempt plus one per unmatched request.
 
     A full outer join cannot be split when one trace id holds a large share of the attempts. Put
     together from a left join (which adaptive execution splits on the attempts' side) and the
-    requests without any attempt (an anti-join on distinct ids) it can. Attempts without a key
-    match nothing and skip the join, or they would all meet in one task.
+    requests without any attempt (an anti-join on distinct ids) it can.
     """
     content, gateway = _sides(docs)
-    keyed, keyless = gateway.filter("trace_id IS NOT NULL"), gateway.filter("trace_id IS NULL")
-    lonely = content.join(keyed.select("trace_id").distinct(), "trace_id", "left_anti")
-    side = F.when(F.col("request_id").isNull(), F.lit("content_only")).when(
-        F.col("_hit").isNull(), F.lit("gateway_only")
-    ).otherwise(F.lit("both"))
-    return (
-        keyed.join(content.withColumn("_hit", F.lit(True)), "trace_id", "left")
-        .unionByName(lonely.withColumn("_hit", F.lit(True)), allowMissingColumns=True)
-        .unionByName(keyless, allowMissingColumns=True)
-        .withColumn("side", side)
-        .drop("_hit")
+    key = spread_nulls(F.col("trace_id"), F.col("request_id"))
+    matched = gateway.withColumn("_key", key).join(
+        content.withColumnRenamed("trace_id", "_key").withColumn("side", F.lit("both")), "_key", "left"
+    ).drop("_key")
+    ids = gateway.select("trace_id").filter("trace_id IS NOT NULL").distinct()
+    lonely = content.join(ids, "trace_id", "left_anti").withColumn("side", F.lit("content_only"))
+    return matched.unionByName(lonely, allowMissingColumns=True).withColumn(
+        "side", F.coalesce("side", F.lit("gateway_only"))
     )
 
 
@@ -116,18 +118,16 @@ def completion_id_crosscheck(docs: DataFrame) -> DataFrame:
     """Every attempt by how it matches: on the trace id, on the completion id, on both, on
     neither. A match on one key only is a signal of its own."""
     content, gateway = _sides(docs)
-    by_trace = content.select("trace_id", "content_response_id", F.lit(True).alias("trace_hit"))
+    by_trace = content.select(F.col("trace_id").alias("_trace"), F.lit(True).alias("trace_hit"))
     by_completion = content.filter("content_response_id IS NOT NULL").select(
-        F.col("content_response_id").alias("gateway_response_id")
+        F.col("content_response_id").alias("_completion")
     ).distinct().withColumn("completion_hit", F.lit(True))
-    # Rows without a key are kept out of the join on that key, or they would meet in one task.
-    with_trace = (
-        gateway.filter("trace_id IS NOT NULL").join(by_trace.drop("content_response_id"), "trace_id", "left")
-        .unionByName(gateway.filter("trace_id IS NULL"), allowMissingColumns=True)
-    )
+    request = F.col("request_id")
     with_both = (
-        with_trace.filter("gateway_response_id IS NOT NULL").join(by_completion, "gateway_response_id", "left")
-        .unionByName(with_trace.filter("gateway_response_id IS NULL"), allowMissingColumns=True)
+        gateway.withColumn("_trace", spread_nulls(F.col("trace_id"), request))
+        .withColumn("_completion", spread_nulls(F.col("gateway_response_id"), request))
+        .join(by_trace, "_trace", "left")
+        .join(by_completion, "_completion", "left")
     )
     trace_hit, completion_hit = F.col("trace_hit").isNotNull(), F.col("completion_hit").isNotNull()
     return with_both.select(
