@@ -57,8 +57,8 @@ def all_queries() -> dict[str, Query]:
 
 # --------------------------------------------------------------- shared inputs
 
-# Only plans are kept here, never data: building one takes some thousand calls to the JVM, and
-# most queries start from the same few.
+# Only plans and paths are kept here, never data: building a plan takes some thousand calls to
+# the JVM, and most queries start from the same few.
 @lru_cache(maxsize=32)
 def lines(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     return planes.content_lines(spark, sf_dir) if dataset == K.CONTENT else planes.gateway_lines(spark, sf_dir)
@@ -69,14 +69,27 @@ def events(spark: SparkSession, sf_dir: str, dataset: str, skip_health: bool = T
     return derive.latest_events(lines(spark, sf_dir, dataset), dataset, skip_health)
 
 
+@lru_cache(maxsize=32)
+def stored(spark: SparkSession, sf_dir: str, dataset: str) -> str:
+    """Path of the documents of one dataset, derived from the tables and written on first use.
+
+    Rules run on stored documents, as they do in operation: records are parsed once when they
+    come in, and not again by every rule. The table is in the shared folder, partitioned by day,
+    so a rule reads the columns and days it needs, and a lost executor loses nothing.
+    """
+    derived = D.content_documents if dataset == K.CONTENT else D.gateway_documents
+    path = scratch_dir(spark, f"documents-{dataset}")
+    A.write_documents(derived(events(spark, sf_dir, dataset)), path)
+    return path
+
+
 @lru_cache(maxsize=32)
 def documents(spark: SparkSession, sf_dir: str, dataset: str | None = None) -> DataFrame:
-    """The documents of one dataset, or the view over both."""
-    if dataset == K.CONTENT:
-        return D.content_documents(events(spark, sf_dir, K.CONTENT))
-    if dataset == K.GATEWAY:
-        return D.gateway_documents(events(spark, sf_dir, K.GATEWAY))
-    return A.dataset_view(documents(spark, sf_dir, K.CONTENT), documents(spark, sf_dir, K.GATEWAY))
+    """The stored documents of one dataset, or the view over both."""
+    if dataset is None:
+        return A.dataset_view(documents(spark, sf_dir, K.CONTENT), documents(spark, sf_dir, K.GATEWAY))
+    schema = S.CONTENT_DOCUMENT if dataset == K.CONTENT else S.GATEWAY_DOCUMENT
+    return spark.read.schema(schema).parquet(stored(spark, sf_dir, dataset))
 
 
 def _usd(col: Column | str) -> Column:
