@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from planewatch import constants as K
@@ -62,13 +64,35 @@ def _stored_schema(dataset: str) -> T.StructType:
 
 
 def write_batches(spark: SparkSession, path: str, dataset: str, table: str, checkpoint: str,
-                  files_per_batch: int | None = None) -> None:
+                  files_per_batch: int | None = None,
+                  on_batch: Callable[[int, dict[str, int]], None] | None = None) -> None:
     """Every micro-batch goes to a folder of its own, named by its number and overwritten if the
     batch is run again after a failure. At-least-once delivery plus a repeatable write is what
-    makes the table exact; nothing already stored is rewritten."""
+    makes the table exact; nothing already stored is rewritten.
+
+    The run's counters are observed while the documents are written and handed to ``on_batch``.
+    Only a batch that has bad lines is read once more, for the quarantine table.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = upsert_latest(derive.documents_from_lines(A.number_lines(batch), dataset))
-        docs.drop("dataset").write.mode("overwrite").parquet(f"{table}/dataset={dataset}/batch_id={batch_id}")
+        counters = Observation()
+        lines = A.number_lines(batch)
+        decoded = derive.decode(lines, dataset)
+        blank, bad = A.is_blank(F.col("raw")), F.col("reason").isNotNull()
+        watched = decoded.observe(
+            counters, F.count(F.lit(1)).alias("lines"), F.count_if(~blank & ~bad).alias("parsed"),
+            F.count_if(~blank & bad).alias("parse_errors"),
+        )
+        docs = derive.documents_from_events(derive.events_from_decoded(watched, dataset), dataset)
+        upsert_latest(docs).drop("dataset").write.mode("overwrite").parquet(
+            f"{table}/dataset={dataset}/batch_id={batch_id}"
+        )
+        if counters.get["parse_errors"]:
+            rejected = A.bad_lines(decoded.filter(~blank), dataset)
+            rejected.drop("dataset").write.mode("overwrite").parquet(
+                f"{table}-quarantine/dataset={dataset}/batch_id={batch_id}"
+            )
+        if on_batch:
+            on_batch(batch_id, counters.get)
 
     (
         A.stream_lines(spark, path, files_per_batch).writeStream.foreachBatch(write)
@@ -76,6 +100,13 @@ def write_batches(spark: SparkSession, path: str, dataset: str, table: str, chec
     )
 
 
+def quarantined(spark: SparkSession, table: str) -> DataFrame:
+    """The rejected lines of all batches next to ``table``."""
+    schema = T.StructType([f for f in S.QUARANTINE.fields if f.name != "dataset"] + [
+        T.StructField("dataset", T.StringType()), T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{table}-quarantine")
+
+
 def latest_documents(spark: SparkSession, table: str, dataset: str) -> DataFrame:
     """What the batches add up to: the latest version of every document."""
     stored = spark.read.schema(_stored_schema(dataset)).option("basePath", table).parquet(f"{table}/dataset={dataset}")

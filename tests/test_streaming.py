@@ -87,6 +87,17 @@ def test_checkpoint_resumes_and_the_table_equals_a_backfill(spark, tmp_path):
     assert A.read_documents(spark, f"{folder}/compacted").count() == 2
 
 
+def test_batches_are_counted_and_bad_lines_set_aside(spark, tmp_path):
+    path = write_files(tmp_path / "g", [attempt("a", "t1", 0), {"status": "success"}, {"request_id": "b", "spend": "x"}], [attempt("c", "t1", 1)])
+    folder, seen = scratch_dir(spark, "sink"), {}
+    ingest.write_batches(spark, path, K.GATEWAY, f"{folder}/table", f"{folder}/cp", files_per_batch=1, on_batch=seen.__setitem__)
+    assert seen == {0: {"lines": 3, "parsed": 1, "parse_errors": 2}, 1: {"lines": 1, "parsed": 1, "parse_errors": 0}}
+    bad = ingest.quarantined(spark, f"{folder}/table").collect()
+    assert sorted((r.dataset, r.batch_id, r.reason) for r in bad) == [
+        (K.GATEWAY, 0, "record has no id"), (K.GATEWAY, 0, "undecodable record")]
+    assert ingest.latest_documents(spark, f"{folder}/table", K.GATEWAY).count() == 2
+
+
 def blocks(spark, tmp_path):
     return close(spark, write_files(
         tmp_path / "g",
