@@ -133,11 +133,11 @@ def gateway_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     without an id and blank lines in between."""
     x, g, t0 = F.col("x"), F.col("g"), F.col("t0")
     per_attempt = requests(spark, sf_dir).select("g", "t0", "guser", F.explode("attempts").alias("x"))
-    duration = _duration_ms(x)
-    built = per_attempt.select(
-        "g", x["id"].alias("id"),
-        _gateway_json(x, g, t0, F.col("guser"), duration).alias("final"),
-        F.when(g % 13 == 0, _gateway_json(x, g, t0, F.col("guser"), F.lit(0))).alias("stale"),
+    record = _gateway_json(x, g, t0, F.col("guser"))
+    built = per_attempt.select("g", x["id"].alias("id"), _duration_ms(x).alias("ms"), record.alias("record")).select(
+        "g", "id",
+        _with_member(F.col("record"), "request_duration_ms", F.col("ms").cast("string")).alias("final"),
+        F.when(g % 13 == 0, _with_member(F.col("record"), "request_duration_ms", F.lit("0"))).alias("stale"),
     )
     i, final = F.col("id"), F.col("final")
     no_id = F.when(i % 2 == 0, F.lit('{"request_id":"","status":"success"}')).otherwise(
@@ -169,7 +169,12 @@ def _emit(built: DataFrame, base: Column, lines: list[Column]) -> DataFrame:
     )
 
 
-def _gateway_json(x: Column, g: Column, t0: Column, guser: Column, duration: Column) -> Column:
+def _with_member(json_object: Column, name: str, value: Column) -> Column:
+    """A JSON object with one more member; ``value`` is JSON text."""
+    return F.concat(F.substr(json_object, F.lit(1), F.length(json_object) - 1), F.lit(f',"{name}":'), value, F.lit("}"))
+
+
+def _gateway_json(x: Column, g: Column, t0: Column, guser: Column) -> Column:
     k, i = x["k"], x["id"]
     bad, health = failed(x), is_health(x)
     good = ~bad
@@ -207,7 +212,6 @@ def _gateway_json(x: Column, g: Column, t0: Column, guser: Column, duration: Col
         F.when(good, F.floor(x["value"])).otherwise(F.lit(0)).alias("completion_tokens"),
         _zoned(_start(t0, x), style).alias("startTime"),
         _zoned(_end(t0, x), style).alias("endTime"),
-        duration.alias("request_duration_ms"),
         F.when(bad, _asked(x)).otherwise(_text(_provider(x), "/", _served(x))).alias("model"),
         F.when(bad | (k == 33), blank).otherwise(_asked(x)).alias("model_group"),
         F.when(bad | (k % 10 == 1), blank).when(k == 10, F.lit(" Groq ")).otherwise(_provider(x))
@@ -276,11 +280,15 @@ def content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform(own, lambda x: _end(t0, x))).alias("last_end"),
         F.array_min(F.transform(own, lambda x: _start(t0, x))).alias("first_start"),
     )
+    record, said = _content_json()
     built = r.select(
-        "g", "emitted",
-        F.when(F.col("emitted"), _content_json(F.lit(False))).alias("final"),
-        F.when(F.col("emitted") & (g % 13 == 1), _content_json(F.lit(True))).alias("stale"),
+        "g", F.when(F.col("emitted"), record).alias("record"), said.alias("said"),
         F.transform("probes", lambda x: _probe_json(t0, x)).alias("probe"),
+    ).select(
+        "g", "probe",
+        F.when(F.col("said").isNull(), F.col("record")).otherwise(_with_member(F.col("record"), "output", F.col("said")))
+        .alias("final"),
+        F.when(g % 13 == 1, F.col("record")).alias("stale"),
     )
     final = F.col("final")
     return _emit(built, g * 10, [
@@ -312,7 +320,7 @@ def _observation(t0: Column, x: Column, g: Column) -> Column:
     )
 
 
-def _span(t0: Column, first: Column, last: Column) -> Column:
+def _span(first: Column, last: Column) -> Column:
     none = F.lit(None)
     usage = F.struct(none.cast("bigint").alias("input"), none.cast("bigint").alias("output"))
     return F.struct(
@@ -333,7 +341,8 @@ def scenario_name(g: Column) -> Column:
     )
 
 
-def _content_json(stale: Column) -> Column:
+def _content_json() -> tuple[Column, Column]:
+    """The record without its output, and the output, both as JSON text."""
     c = F.col
     g, t0, own, any_answer = c("g"), c("t0"), c("own"), c("any_answer")
     trace = _text("tr-", g)
@@ -348,7 +357,7 @@ def _content_json(stale: Column) -> Column:
         F.coalesce(c("assistant_text"), F.lit("")),
         F.when(g % 31 == 4, F.lit(" " + K.CANARY)).otherwise(F.lit("")),
     )
-    output = F.when(any_answer & ~stale, F.struct(answer.alias("content"), F.lit("assistant").alias("role")))
+    said = F.when(any_answer, F.to_json(F.struct(answer.alias("content"), F.lit("assistant").alias("role"))))
     spend = F.aggregate(c("answered"), F.lit(0.0), lambda s, x: s + _spend(x))
     cost = F.when(g % 23 == 0, spend * F.lit(1.001)).otherwise(spend)
     tags = F.array_compact(F.array(
@@ -361,11 +370,8 @@ def _content_json(stale: Column) -> Column:
     path = _text("/project/proj-", g % 5, "/traces/", trace)
     shown = F.when(g % 13 == 6, F.lit(None)).when(g % 11 == 4, F.concat(F.lit("https://ui.example"), path)).otherwise(path)
     # Listed latest first: the parser must not rely on the listed order.
-    listed = F.concat(
-        F.transform(F.reverse(own), lambda x: _observation(t0, x, g)),
-        F.when(g % 5 == 0, F.array(_span(t0, c("first_start"), c("last_end"))))
-        .otherwise(F.filter(F.array(_span(t0, c("first_start"), c("last_end"))), lambda _: F.lit(False))),
-    )
+    span = F.when(g % 5 == 0, _span(c("first_start"), c("last_end")))
+    listed = F.concat(F.transform(F.reverse(own), lambda x: _observation(t0, x, g)), F.array_compact(F.array(span)))
     head = [
         trace.alias("id"),
         F.when(g % 3 > 0, F.lit("proj-main")).otherwise(F.lit("")).alias("projectId"),
@@ -379,16 +385,13 @@ def _content_json(stale: Column) -> Column:
         shown.alias("htmlPath"),
         ((F.unix_micros(c("last_end")) - F.unix_micros(c("first_start"))) / F.lit(1000000.0)).alias("latency"),
         cost.alias("totalCost"),
-        output.alias("output"),
     ]
-    wrapped = F.struct(message_list.alias("messages")).alias("input")
-    full = listed.alias("observations")
-    thin = F.transform(own, lambda x: _text("obs-", x["id"])).alias("observations")
-    return (
-        F.when(g % 59 == 10, F.to_json(F.struct(*head, wrapped, thin)))
-        .when(g % 2 == 0, F.to_json(F.struct(*head, wrapped, full)))
-        .otherwise(F.to_json(F.struct(*head, message_list.alias("input"), full)))
-    )
+    # Both forms a list of messages can have, and full or bare observations.
+    sent = F.when(
+        (g % 2 == 0) | (g % 59 == 10), F.to_json(F.struct(message_list.alias("messages")))
+    ).otherwise(F.to_json(message_list))
+    seen = F.when(g % 59 == 10, F.to_json(F.transform(own, lambda x: _text("obs-", x["id"])))).otherwise(F.to_json(listed))
+    return _with_member(_with_member(F.to_json(F.struct(*head)), "input", sent), "observations", seen), said
 
 
 def _probe_json(t0: Column, x: Column) -> Column:
