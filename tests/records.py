@@ -6,8 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SEQ = "struct<at:timestamp,file:string,block:bigint,row:bigint>"
-
 
 def lines(spark: SparkSession, *records: dict | str) -> DataFrame:
     rows = [(r if isinstance(r, str) else json.dumps(r), n) for n, r in enumerate(records)]
