@@ -15,6 +15,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Parsing comes after shuffles of small rows and makes them many times larger. Merging such
+    # shuffles up to the default of 1 MB would leave most cores idle; large ones are not affected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
