@@ -239,8 +239,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return id_and_text(docs).mapInArrow(_run(shared, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", *more, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

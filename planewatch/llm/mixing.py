@@ -87,16 +87,16 @@ def _shards(counts: list[int], shards: int, seed: int):
 
 
 def mix(docs: DataFrame, share: int = SHARE, passes: int = PASSES, block_docs: int = BLOCK_DOCS, seed: int = 11, most_sources: int = MOST_SOURCES) -> tuple[DataFrame, DataFrame]:
-    """(draws, sized). draws: key, doc_id, size, shard, place: one row per use of a document, to be
-    read by shard and place. sized: every document with key, source, size, source_size and target;
+    """(draws, sized). draws: key, hash, doc_id, size, shard, place: one row per use of a document, to
+    be read by shard and place. sized: every document with key, source, size, source_size and target;
     key tells rows apart, also those that repeat a doc_id."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # The row's own content is its key, so that a task that runs again after a loss deals the row the same.
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("hash")), "sizes")
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), _row_hash().alias("hash")), "sizes")
     doubled = rows.groupBy("hash", "doc_id").agg(F.count("*").alias("copies"), F.first("source").alias("source"), F.first("size").alias("size"))
     keyed = doubled.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "hash")
-    keyed = stored(keyed.select(F.xxhash64("hash", "copy", F.lit(seed)).alias("key"), "doc_id", "source", "size"), "keyed")
+    keyed = stored(keyed.select(F.xxhash64("hash", "copy", F.lit(seed)).alias("key"), "hash", "doc_id", "source", "size"), "keyed")
     totals = keyed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     sources = [r for r in with_targets(totals, share, passes).orderBy(F.col("source").asc_nulls_last()).limit(most_sources + 1).collect()]
     if len(sources) > most_sources:
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, share: int = SHARE, passes: int = PASSES, block_docs: i
     draws = draws.join(F.broadcast(plan.select("number", "blocks")), "number").join(F.broadcast(stride), "number")
     draws = draws.withColumn("draw", F.pmod((F.col("pass") * F.col("blocks") + F.col("block")) * F.col("stride"), F.col("n")))
     draws = draws.join(runs, ["number", "draw"]).select("number", "block", "pass", "shard", "before", "rest", (F.col("cut") & (F.col("pass") == F.col("whole"))).alias("cut"))
-    uses = sized.select("key", "doc_id", "number", "block", "size").join(stored(draws, "draws"), ["number", "block"])
+    uses = sized.select("key", "hash", "doc_id", "number", "block", "size").join(stored(draws, "draws"), ["number", "block"])
     inside = Window.partitionBy("number", "block").orderBy("key")
     partly = uses.where("cut").withColumn("upto", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # In a block that is cut: the documents that fit one after the other, and the largest other one that fits into what is left.
@@ -138,10 +138,22 @@ def mix(docs: DataFrame, share: int = SHARE, passes: int = PASSES, block_docs: i
     other = F.when((F.col("upto") > F.col("rest")) & (F.col("size") <= F.col("gap")), F.struct("size", "key"))
     partly = partly.withColumn("filler", F.max(other).over(block_of)).where("upto <= rest OR filler = struct(size, key)")
     out = uses.where("not cut").unionByName(partly.select(uses.columns))
-    out = out.select("key", "doc_id", "size", "pass", "shard", F.xxhash64("key", "pass", "shard").alias("place"))
+    out = out.select("key", "hash", "doc_id", "size", "pass", "shard", F.xxhash64("key", "pass", "shard").alias("place"))
     return out, sized.select("key", "doc_id", "source", "size", "source_size", "target")
 
 
+def _row_hash():
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as they are drawn, shard after shard, in the order of each shard."""
+    draws, _ = mix(docs)
+    one = docs.withColumn("row_hash", _row_hash()).dropDuplicates(["row_hash"])
+    drawn = one.join(draws.select(F.col("hash").alias("row_hash"), "shard", "place"), "row_hash")
+    return drawn.repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+
+
 def _passes(target: float, size: int) -> tuple[int, float]:
     whole = int(target // size) if size else 0
     return whole, max(0.0, target - whole * size)

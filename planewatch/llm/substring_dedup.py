@@ -233,6 +233,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the counts, the digest and the text that is left; other columns are passed on."""
     for rows, texts in slices(batches):
         n_words, n_removed, digest, left = [], [], [], []
         for text, starts, stops in zip(texts, rows.column("starts").to_pylist(), rows.column("stops").to_pylist(), strict=True):
@@ -246,17 +247,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(_cut(text, spans) if spans else text)
         nulls = rows.column("text").is_null()
         text = pa.array([None if x.as_py() else t for x, t in zip(nulls, left, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), text],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "left_text"],
-        )
+        out = rows.select([c for c in rows.schema.names if c not in ("text", "starts", "stops")])
+        for name, column in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept_sha256", pa.array(digest, pa.string())), ("left_text", text)):
+            out = out.append_column(name, column)
+        yield out
 
 
-def without_repeats(docs: DataFrame, width: int = 24, open_width: int = 24) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and left_text (the text without the removed words), one row per row of ``docs``."""
+def without_repeats(docs: DataFrame, width: int = 24, open_width: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and left_text (the text without the removed words), one row
+    per row of ``docs``; columns named in ``carry`` are passed on."""
     spans = repeated_spans(docs, width, open_width).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = id_and_text(docs).join(spans, "doc_id", "left").select("doc_id", "text", "starts", "stops")
-    out = joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, left_text binary")
+    joined = id_and_text(docs, *carry).join(spans, "doc_id", "left").select("doc_id", "text", "starts", "stops", *carry)
+    more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    out = joined.mapInArrow(_remove, f"doc_id long, {more}n_words long, n_removed long, kept_sha256 string, left_text binary")
     return out.withColumn("left_text", F.col("left_text").cast("string"))
 
 
