@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from planewatch.plans import oracle, registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.all_queries(), oracle.all_sql()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 )
@@ -29,6 +30,7 @@ def as_text(rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
