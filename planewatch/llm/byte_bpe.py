@@ -2,7 +2,7 @@
 
 Encoding. A text is cut into stretches of white space and the word after it. The pattern never matches
 across such a cut, so a stretch always has the same tokens, and each task encodes every distinct
-stretch once (the last ``KEPT`` ones are remembered). The pattern splits new stretches into pieces. A
+stretch once (about ``KEPT`` of them are remembered). The pattern splits new stretches into pieces. A
 piece that is a vocabulary entry is that token. For the others a recursive query holds the token list
 of each piece; every step lays it out as token positions, joins the neighbouring pairs with the merge
 table, and contracts the leftmost pair of minimum rank of each piece, until no pair is in the table.
@@ -24,7 +24,6 @@ space takes time in the square of its length.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -88,41 +87,55 @@ class _Stretches:
         one = mix(np.arange(1, alphabet + 1, dtype=np.uint64))
         self.numbers = one, mix(one)
         self.powers = Powers(0xB5026F5AA96619E9), Powers(0xD1342543DE82EF95)
-        self.known: dict[tuple[int, int], bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known runs, sorted by hash: where in the store they are said, and at what length."""
+        self.one = self.two = np.zeros(0, np.uint64)
+        self.at = self.size = np.zeros(0, np.int64)
+        self.store = np.zeros(0, np.uint8 if self.unit == 1 else "<u4")
+
+    def _keep(self, one: np.ndarray, two: np.ndarray, said: list[bytes]) -> np.ndarray:
+        """Adds runs; returns their places in the store."""
+        size = np.array([len(x) for x in said], np.int64) // self.unit
+        at = len(self.store) + np.cumsum(size) - size
+        self.store = np.concatenate([self.store, np.frombuffer(b"".join(said), self.store.dtype)])
+        columns = [np.concatenate(x) for x in ((self.one, one), (self.two, two), (self.at, at), (self.size, size))]
+        order = np.argsort(columns[0], kind="stable")
+        self.one, self.two, self.at, self.size = (c[order] for c in columns)
+        return at
 
     def replace(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """starts: where runs begin, in order, the first at 0; ends: how many runs each text has."""
-        counts = np.diff(np.r_[0, ends])
         if not len(starts):
             return [b""] * len(ends)
         stops = np.r_[starts[1:], len(values)]
         one, two = (q.runs(q.prefix(x[values]), starts, stops) for q, x in zip(self.powers, self.numbers, strict=True))
         order = np.argsort(one)
         a, b = one[order], two[order]
-        if len(one) > 1 and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # equal in 64 bits only
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # equal in 64 bits only
             order = np.lexsort((two, one))
             a, b = one[order], two[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         kind = np.empty(len(one), np.int64)
         kind[order] = np.cumsum(new) - 1
-        first = order[new]
-        keys = list(zip(one[first].tolist(), two[first].tolist(), strict=True))
-        if len(self.known) > KEPT:
-            self.known.clear()
-        unknown = [(k, i) for k, i in zip(keys, first.tolist(), strict=True) if k not in self.known]
-        if unknown:
-            raw, wide, at = values.tobytes(), values.itemsize, [i for _, i in unknown]
-            said = self.learn([raw[a:b] for a, b in zip((starts[at] * wide).tolist(), (stops[at] * wide).tolist(), strict=True)])
-            self.known.update((k, x) for (k, _), x in zip(unknown, said, strict=True))
-        say = [self.known[k] for k in keys]
-        length = np.array([len(x) for x in say], np.int64) // self.unit
-        offset = np.cumsum(length) - length
-        store = np.frombuffer(b"".join(say), np.uint8 if self.unit == 1 else "<u4")
-        took = length[kind]
+        first, a, b = order[new], a[new], b[new]
+        if len(self.one) > KEPT:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.one, a), max(0, len(self.one) - 1))
+        known = (self.one[place] == a) & (self.two[place] == b) if len(self.one) else np.zeros(len(a), bool)
+        at, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        if not known.all():
+            raw, wide, missing = values.tobytes(), values.itemsize, first[~known]
+            said = self.learn([raw[x:y] for x, y in zip((starts[missing] * wide).tolist(), (stops[missing] * wide).tolist(), strict=True)])
+            at[~known] = self._keep(a[~known], b[~known], said)
+            size[~known] = [len(x) // self.unit for x in said]
+        took = size[kind]
         end = np.cumsum(took)
-        out = store[np.repeat(offset[kind] - (end - took), took) + np.arange(end[-1])]
-        cut = np.r_[0, end][np.r_[0, np.cumsum(counts)]].tolist()
-        return [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out = self.store[np.repeat(at[kind] - (end - took), took) + np.arange(end[-1])]
+        cut = np.r_[0, end][np.r_[0, ends]].tolist()
+        return [out[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class Codec:
@@ -141,7 +154,7 @@ class Codec:
             if token[:i] in ranks and token[i:] in ranks
         ]
         merges = np.array(rows, np.int64).reshape(-1, 3)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         self._table("merges", pair=merges[:, 0] << 32 | merges[:, 1], rank=merges[:, 2])
         ids = np.fromiter(ranks.values(), np.int32)
         self._table("vocabulary", id=ids, piece=[t.decode("latin-1") for t in ranks])
@@ -163,8 +176,8 @@ class Codec:
     def _contract(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces that are not in the vocabulary, some thousands at a time."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), 50_000):
-            some = pieces[at : at + 50_000]
+        for at in range(0, len(pieces), 25_000):
+            some = pieces[at : at + 25_000]
             start = self.byte_tokens[np.frombuffer(b"".join(some), np.uint8)]
             found = self._ask(ENCODE, "pieces", _lists(start, [len(p) for p in some])).column("toks").combine_chunks()
             ids, ends = found.flatten().to_numpy().astype("<u4").tobytes(), found.offsets.to_numpy().astype(np.int64) * 4
@@ -183,8 +196,8 @@ class Codec:
 
     def _bytes(self, stretches: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(stretches), 50_000):
-            some = stretches[k : k + 50_000]
+        for k in range(0, len(stretches), 25_000):
+            some = stretches[k : k + 25_000]
             lists = _lists(np.frombuffer(b"".join(some), "<u4").astype(np.int32), [len(s) // 4 for s in some])
             out += [b.encode("latin-1") for b in self._ask(DECODE, "stretches", lists).column("bytes").to_pylist()]
         return out
@@ -218,7 +231,7 @@ class Codec:
 def _run(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=2 << 20):
             codec = codec or Codec(shared.value, pattern)
             ids = codec.encode(texts)
             decoded = codec.decode(ids)

@@ -96,7 +96,8 @@ class Powers:
     def prefix(self, h: np.ndarray) -> np.ndarray:
         self.to(len(h) + 1)
         out = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * self.up[: len(h)], out=out[1:])
+        np.multiply(h, self.up[: len(h)], out=out[1:])
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def runs(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
