@@ -154,7 +154,7 @@ class Codec:
             if token[:i] in ranks and token[i:] in ranks
         ]
         merges = np.array(rows, np.int64).reshape(-1, 3)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "80MB"})
         self._table("merges", pair=merges[:, 0] << 32 | merges[:, 1], rank=merges[:, 2])
         ids = np.fromiter(ranks.values(), np.int32)
         self._table("vocabulary", id=ids, piece=[t.decode("latin-1") for t in ranks])
@@ -176,8 +176,8 @@ class Codec:
     def _contract(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces that are not in the vocabulary, some thousands at a time."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), 25_000):
-            some = pieces[at : at + 25_000]
+        for at in range(0, len(pieces), 12_000):
+            some = pieces[at : at + 12_000]
             start = self.byte_tokens[np.frombuffer(b"".join(some), np.uint8)]
             found = self._ask(ENCODE, "pieces", _lists(start, [len(p) for p in some])).column("toks").combine_chunks()
             ids, ends = found.flatten().to_numpy().astype("<u4").tobytes(), found.offsets.to_numpy().astype(np.int64) * 4
@@ -196,8 +196,8 @@ class Codec:
 
     def _bytes(self, stretches: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(stretches), 25_000):
-            some = stretches[k : k + 25_000]
+        for k in range(0, len(stretches), 12_000):
+            some = stretches[k : k + 12_000]
             lists = _lists(np.frombuffer(b"".join(some), "<u4").astype(np.int32), [len(s) // 4 for s in some])
             out += [b.encode("latin-1") for b in self._ask(DECODE, "stretches", lists).column("bytes").to_pylist()]
         return out
@@ -231,7 +231,7 @@ class Codec:
 def _run(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for rows, texts in slices(batches, most=2 << 20):
+        for rows, texts in slices(batches, most=3 << 19):
             codec = codec or Codec(shared.value, pattern)
             ids = codec.encode(texts)
             decoded = codec.decode(ids)

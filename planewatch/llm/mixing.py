@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from planewatch.llm.words import WORD, stored, table
 
-SHARE, PASSES, BLOCK_DOCS, SHARD_BLOCKS, MOST_SOURCES = 150, 2, 256, 64, 10_000
+SHARE, PASSES, BLOCK_DOCS, SHARD_BLOCKS, MOST_SOURCES = 150, 2, 256, 8, 10_000
 COARSE = 1024
 
 
