@@ -3,12 +3,12 @@
 1. The largest inner product is the smallest distance once every vector gets one more component that
    gives all of them the length of the longest. Centroids are trained on at most ``TRAIN_ROWS``
    vectors, chosen by a hash of the id; clusters that are much too small are moved into large ones.
-   Their number follows the rows, up to ``MOST_LISTS``, so they have a fixed size at most.
+   Their number is ``LISTS`` times the root of the number of rows, at most ``MOST_LISTS``.
 2. Every vector goes to the list of its nearest centroid, and near a boundary also to others, up to
    ``COPIES``, whose distance is within ``CLOSE`` of the smallest.
 3. Centroids are searched through an in-memory neighbour graph, for many vectors at once.
 4. A query visits the lists whose centroid is within ``RATIO`` of its smallest distance, at least
-   ``LEAST_LISTS`` and at most ``share`` of all.
+   ``LEAST_LISTS`` and at most ``VISITS`` times the root of the number of lists.
 5. Lists are dealt into blocks of about ``LIST_ROWS`` vectors, and the queries of a list into blocks of
    about ``QUERY_ROWS``, so that a list that very many rows share is searched by many tasks. Inside a
    block the scores are exact, in double precision; each query keeps its nearest there, and the best
@@ -22,6 +22,7 @@ the smallest hash); ties go to the smaller id; with fewer candidates than asked
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from planewatch.llm.words import stored, table
 
 K, EVERY = 20, 20
-TRAIN_ROWS, VECTORS_A_LIST, MOST_LISTS = 20_000, 250, 4096
+TRAIN_ROWS, LISTS, VISITS, MOST_LISTS = 20_000, 0.4, 3.6, 4096
 COPIES, CLOSE, RATIO, LEAST_LISTS, DEGREE = 4, 1.03, 1.35, 16, 16
 LIST_ROWS, QUERY_ROWS = 2048, 512
 
@@ -179,7 +180,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(rows: DataFrame, is_query, k: int = K, ratio: float = RATIO, share: float = 0.5) -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = K, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest of every row for which ``is_query`` holds."""
     spark = rows.sparkSession
     vectors = usable(rows)
@@ -190,7 +191,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, ratio: float = RATIO, share:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).toArrow()
     x = _vectors(sample.combine_chunks().to_batches()[0])
     x = np.c_[x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))]
-    lists = int(np.clip(n // VECTORS_A_LIST, 1, min(MOST_LISTS, len(x))))
+    lists = int(np.clip(LISTS * math.sqrt(n), 1, min(MOST_LISTS, len(x))))
     shared = spark.sparkContext.broadcast(train_centroids(x, lists))
     assigned = "vec_id long, vector array<double>, lists array<int>"
 
@@ -199,7 +200,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, ratio: float = RATIO, share:
 
     postings = exploded(stored(vectors.mapInArrow(_assign(shared, longest, 2 * COPIES, CLOSE, 1, COPIES, True), assigned), "postings"))
     asking = vectors.where(is_query)
-    most = max(LEAST_LISTS, int(lists * share))
+    most = max(LEAST_LISTS, math.ceil(VISITS * math.sqrt(lists)))
     visits = exploded(asking.mapInArrow(_assign(shared, longest, most, ratio, LEAST_LISTS, most, False), assigned))
     best = stored(_best(_visit(postings, visits, k), k), "nearest")
     enough = best.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, n - 1))
