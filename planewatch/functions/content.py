@@ -94,11 +94,10 @@ def reduce_generations(generations: Column) -> Column:
     generation names the requested model only, and its plain ``model`` counts for that only while
     nothing has answered yet, which is why this must be a fold and not a set of independent picks.
     """
-    zero = F.struct(*[
-        F.lit(0 if name in ("answered", "refused", "with_usage", "input_tokens", "output_tokens") else None)
-        .cast(dtype).alias(name)
-        for name, dtype in _EMPTY.items()
-    ])
+    # The token sums become NULL when they overflow; a plain 0 would declare that they never do.
+    start = {"answered": F.lit(0), "refused": F.lit(0), "with_usage": F.lit(0)}
+    start |= {name: F.lit("0").try_cast("bigint") for name in ("input_tokens", "output_tokens")}
+    zero = F.struct(*[start.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in _EMPTY.items()])
 
     def step(acc: Column, timed: Column) -> Column:
         g = timed["o"]
@@ -109,7 +108,7 @@ def reduce_generations(generations: Column) -> Column:
 
         def add(total: str, leaf: str) -> Column:
             more = F.when(measured, F.coalesce(g["usage"][leaf], F.lit(0).cast("bigint")))
-            return acc[total] + F.coalesce(more, F.lit(0).cast("bigint"))
+            return F.try_add(acc[total], F.coalesce(more, F.lit(0).cast("bigint")))
 
         return F.struct(
             (acc["answered"] + one).alias("answered"),
@@ -142,7 +141,8 @@ def project_id(given: Column, path: Column) -> Column:
 
 
 def duration_ns(seconds: Column) -> Column:
-    return (seconds * 1e9).cast("bigint")
+    """NULL where the number cannot be held: no wire value may stop the job."""
+    return (seconds * 1e9).try_cast("bigint")
 
 
 def is_content_health_check(tags: Column) -> Column:

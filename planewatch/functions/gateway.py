@@ -73,7 +73,7 @@ def gateway_events(decoded: DataFrame) -> DataFrame:
         start.alias("request_ts"),
         start.alias("start_ts"),
         utc_time(w["endTime"], naive_is_utc=True).alias("end_ts"),
-        F.when(ms > 0, ms * 1000000).alias("duration_ns"),
+        F.when(ms > 0, F.try_multiply(ms, F.lit(1000000).cast("bigint"))).alias("duration_ns"),
         status.alias("status"),
         blank_to_null(err["error_message"]).alias("status_message"),
         blank_to_null(err["error_class"]).alias("error_class"),

@@ -79,8 +79,8 @@ def resolve_request(docs: DataFrame) -> DataFrame:
         F.when(F.bool_or(outcome == K.SUCCESS), F.lit(K.SUCCESS))
         .when(F.bool_or(outcome == K.FAILURE), F.lit(K.FAILURE)).alias("gateway_outcome"),
         F.sum(cost_usd()).alias("gateway_cost"),
-        F.sum(input_tokens()).alias("gateway_input_tokens"),
-        F.sum(output_tokens()).alias("gateway_output_tokens"),
+        F.try_sum(input_tokens()).alias("gateway_input_tokens"),
+        F.try_sum(output_tokens()).alias("gateway_output_tokens"),
         last(served).alias("gateway_model"),
         last(asked).alias("gateway_requested"),
         last(known_system).alias("gateway_system"),

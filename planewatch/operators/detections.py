@@ -114,7 +114,7 @@ def short_output_rate(docs: DataFrame, limit: int = K.SHORT_OUTPUT_BYTES) -> Dat
 
 def token_sum_user(docs: DataFrame) -> DataFrame:
     return content_only(docs).filter(user_id().isNotNull()).groupBy(user_id().alias("user_id")).agg(
-        F.sum(input_tokens()).alias("input_tokens"), F.sum(output_tokens()).alias("output_tokens")
+        F.try_sum(input_tokens()).alias("input_tokens"), F.try_sum(output_tokens()).alias("output_tokens")
     )
 
 
@@ -129,7 +129,7 @@ def token_spike(docs: DataFrame, factor: float = K.SPIKE_FACTOR, history: int =
         content_only(docs)
         .filter(user_id().isNotNull() & input_tokens().isNotNull() & output_tokens().isNotNull() & event_start().isNotNull())
         .groupBy(user_id().alias("user_id"), hour_of(event_start()).alias("hour"))
-        .agg(F.sum(input_tokens() + output_tokens()).alias("tokens"))
+        .agg(F.try_sum(F.try_add(input_tokens(), output_tokens())).alias("tokens"))
     )
     before = (
         Window.partitionBy("user_id").orderBy(F.unix_seconds("hour")).rangeBetween(-history, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +10,11 @@ from planewatch import constants as K
 from planewatch.operators.detections import event_start, trace_id, in_window
 
 
+# Times before this are taken for a broken clock.
+EARLIEST = datetime(2000, 1, 1, tzinfo=timezone.utc)
+TICK_RUN = 4096
+
+
 def join_health_lag(fetch_interval: timedelta, index_interval: timedelta) -> timedelta:
     """How far behind now a measurement must end, so that records on their way are not missed."""
     budget = timedelta(seconds=K.VISIBILITY_BUDGET) + fetch_interval + index_interval
@@ -93,13 +98,18 @@ def with_rates(health: DataFrame) -> DataFrame:
 
 
 def join_health_series(docs: DataFrame, baseline: DataFrame, period_seconds: int = K.HEALTH_PERIOD,
-                       window_seconds: int = K.HEALTH_WINDOW, lag_seconds: int = K.MIN_LAG) -> DataFrame:
+                       window_seconds: int = K.HEALTH_WINDOW, lag_seconds: int = K.MIN_LAG,
+                       since: datetime = EARLIEST, until: datetime | None = None) -> DataFrame:
     """The same measurement at every tick of the period, from the first tick whose window holds a
     record to the last one, quiet ticks included. ``window_seconds`` must be a multiple of
     ``period_seconds``.
 
     Rows are cut to one per (period slot, trace id, plane) before they are copied to the ticks
     whose window covers the slot, so the copies grow with ids and not with rows.
+
+    Records dated before ``since`` or after ``until`` (a day from now if not given) have a broken
+    clock and are left out: a single one would stretch the series by millions of quiet ticks. The
+    ticks are made in runs of ``TICK_RUN``, so no row holds more of them.
     """
     if window_seconds % period_seconds:
         raise ValueError("window_seconds must be a multiple of period_seconds")
@@ -108,14 +118,20 @@ def join_health_series(docs: DataFrame, baseline: DataFrame, period_seconds: int
     # k * period) is made of the slots k - reach .. k - 1.
     micros = 1000000
     slot = F.floor((F.unix_micros(event_start()) + lag_seconds * micros) / F.lit(period_seconds * micros)).cast("bigint")
-    slots = _per_id(_plane_rows(docs.filter(event_start().isNotNull()), slot.alias("slot")), "slot")
+    last_start = F.lit(until) if until else F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    docs = docs.filter((event_start() >= F.lit(since)) & (event_start() <= last_start))
+    slots = _per_id(_plane_rows(docs, slot.alias("slot")), "slot")
     copies = slots.select(
         F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + reach)).alias("tick"),
         "trace_id", "content", "gateway", "expected",
     )
     bounds = docs.agg(F.min(slot).alias("first"), F.max(slot).alias("last"))
-    every_tick = bounds.filter("first IS NOT NULL").select(
-        F.explode(F.sequence(F.col("first") + 1, F.col("last") + reach)).alias("tick"),
+    runs = bounds.filter("first IS NOT NULL").select(
+        F.explode(F.sequence(F.col("first") + 1, F.col("last") + reach, F.lit(TICK_RUN).cast("bigint"))).alias("run"),
+        (F.col("last") + reach).alias("end"),
+    )
+    every_tick = runs.select(
+        F.explode(F.sequence(F.col("run"), F.least(F.col("run") + (TICK_RUN - 1), F.col("end")))).alias("tick"),
         F.lit(None).cast("string").alias("trace_id"), F.lit(0).cast("bigint").alias("content"),
         F.lit(0).cast("bigint").alias("gateway"), F.lit(False).alias("expected"),
     )

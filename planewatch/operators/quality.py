@@ -23,10 +23,11 @@ def schema_parity(content: T.StructType, gateway: T.StructType) -> list[str]:
     return problems
 
 
-def declared_fields(documents: DataFrame, declared: T.StructType) -> list[str]:
-    """Leaves that are produced but not declared, or declared otherwise."""
-    produced, known = S.leaves(documents.schema), S.leaves(declared)
-    return sorted(f"{f}: {t}" for f, t in produced.items() if known.get(f) != t)
+def declared_fields(made: T.StructType, declared: T.StructType) -> list[str]:
+    """Leaves that are produced but not declared, or declared otherwise, and those never produced."""
+    produced, known = S.leaves(made), S.leaves(declared)
+    wrong = [f"{f}: {t}" for f, t in produced.items() if known.get(f) != t]
+    return sorted(wrong + [f"{f}: never produced" for f in known.keys() - produced.keys()])
 
 
 def field_census(content: DataFrame, gateway: DataFrame) -> DataFrame:

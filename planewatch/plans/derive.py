@@ -50,8 +50,8 @@ def backfill(spark: SparkSession, archives: dict[str, str], base_url: str = "",
     for dataset, path in archives.items():
         lines = A.scan_archive_or_none(spark, path)
         if lines is not None:
-            documents = documents_from_lines(lines, dataset, base_url, skip_health)
-            derived[dataset] = upsert_latest(documents)
+            latest = latest_events(lines, dataset, skip_health)
+            derived[dataset] = content_documents(latest, base_url) if dataset == K.CONTENT else gateway_documents(latest)
     if not derived:
         raise ValueError(f"no archive found: {archives}")
     if len(derived) == 2:

@@ -18,6 +18,9 @@ SESSION_CONF = {
     # Parsing comes after shuffles of small rows and makes them many times larger. Merging such
     # shuffles up to the default of 1 MB would leave most cores idle; large ones are not affected.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # State of streams on disk and not on the heap, which the number of open ids would fill.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -109,8 +109,8 @@ def test_schemas(spark):
         K.CONTENT: derive.documents_from_lines(lines(spark, trace(observations=[observation(), refused()])), K.CONTENT),
         K.GATEWAY: derive.documents_from_lines(lines(spark, spend()), K.GATEWAY),
     }
-    assert Q.declared_fields(docs[K.CONTENT], S.CONTENT_DOCUMENT) == []
-    assert Q.declared_fields(docs[K.GATEWAY], S.GATEWAY_DOCUMENT) == []
+    assert Q.declared_fields(docs[K.CONTENT].schema, S.CONTENT_DOCUMENT) == []
+    assert Q.declared_fields(docs[K.GATEWAY].schema, S.GATEWAY_DOCUMENT) == []
     assert Q.schema_parity(docs[K.CONTENT].schema, docs[K.GATEWAY].schema) == []
     assert not {f for f in S.leaves(docs[K.GATEWAY].schema) if f.startswith("llm.") and f.split(".")[1] not in ("key", "total_cost_usd")}
     view = A.dataset_view(docs[K.CONTENT], docs[K.GATEWAY])
@@ -129,6 +129,13 @@ def test_parity_finds_problems(spark):
     assert Q.schema_parity(S.CONTENT_DOCUMENT, only) == ["tags: in one dataset only"]
 
 
+def test_a_misnamed_leaf_is_found():
+    from pyspark.sql import types as T
+
+    renamed = T.StructType([T.StructField("tagz" if f.name == "tags" else f.name, f.dataType) for f in S.CONTENT_DOCUMENT.fields])
+    assert Q.declared_fields(renamed, S.CONTENT_DOCUMENT) == ["tags: never produced", "tagz: array<string>"]
+
+
 def test_documents_survive_storing(spark, tmp_path):
     docs = A.dataset_view(
         derive.documents_from_lines(lines(spark, trace(), trace(id="t2")), K.CONTENT),

@@ -289,6 +289,16 @@ def test_join_health_series_agrees_with_single_measurements(spark):
         H.join_health_series(documents(spark, *docs), baseline, window_seconds=700)
 
 
+def test_join_health_series_survives_broken_clocks(spark):
+    baseline = spark.createDataFrame([(b,) for b in BASELINE], "trace_id string")
+    sound = H.join_health_series(documents(spark, *health_docs()), baseline).collect()
+    far = [content_doc(f"far-{y}", start=(dt.datetime(y, 6, 1) - dt.datetime(2024, 5, 1, 10)).total_seconds()) for y in (1970, 2200, 9998)]
+    assert sorted(H.join_health_series(documents(spark, *health_docs(), *far), baseline).collect()) == sorted(sound)
+    wide = H.join_health_series(documents(spark, *health_docs(), content_doc("later", start=60 * 86400)), baseline)
+    assert wide.count() > 60 * 288  # more than one run of ticks, none twice
+    assert wide.select("measured_at").distinct().count() == wide.count()
+
+
 def test_lag():
     s = dt.timedelta(seconds=1)
     assert H.join_health_lag(30 * s, 10 * s) == 120 * s

@@ -98,6 +98,20 @@ def test_batches_are_counted_and_bad_lines_set_aside(spark, tmp_path):
     assert ingest.latest_documents(spark, f"{folder}/table", K.GATEWAY).count() == 2
 
 
+def test_absurd_numbers_do_not_stop_the_good_lines(spark, tmp_path):
+    most = 2**63 - 1
+    huge = observation(usage={"input": most, "output": most})
+    gateway = write_files(tmp_path / "g", [attempt("a", "t1", 0, request_duration_ms=10**16), attempt("b", "t2", 1)])
+    content = write_files(tmp_path / "c", [trace(id="t1", latency=1e12), trace(id="t2", observations=[huge, huge]), trace(id="t3")])
+    for path, dataset, ids in ((gateway, K.GATEWAY, ["a", "b"]), (content, K.CONTENT, ["t1", "t2", "t3"])):
+        folder = scratch_dir(spark, "sink")
+        ingest.write_batches(spark, path, dataset, f"{folder}/table", f"{folder}/cp")
+        rows = {r.document_id: r for r in ingest.latest_documents(spark, f"{folder}/table", dataset).collect()}
+        assert sorted(rows) == ids
+        assert rows[ids[0]].event.duration is None and rows[ids[-1]].event.duration is not None
+    assert rows["t2"].gen_ai.usage is None and rows["t3"].gen_ai.usage.input_tokens == 10
+
+
 def blocks(spark, tmp_path):
     return close(spark, write_files(
         tmp_path / "g",
