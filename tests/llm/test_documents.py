@@ -20,13 +20,13 @@ def words(text):
     return WORD.findall((text or "").encode())
 
 
-def shingles(text):
+def shingles(text, n):
     w = [x.lower() for x in words(text)]
-    return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def true_components(texts):
-    sets = {i: shingles(t) for i, t in texts.items() if i is not None}
+def true_components(texts, n):
+    sets = {i: shingles(t, n) for i, t in texts.items() if i is not None}
     parent = {i: i for i in sets}
 
     def find(i):
@@ -43,17 +43,18 @@ def true_components(texts):
     return {i: find(i) for i in ids}
 
 
-def check_near(got, texts):
-    want = true_components(texts)
+def check_near(got, texts, n):
+    want = true_components(texts, n)
     for r in got:
-        assert r.n_shingles == (len(shingles(texts[r.doc_id])) if r.doc_id is not None else r.n_shingles)
+        assert r.n_shingles == (len(shingles(texts[r.doc_id], n)) if r.doc_id is not None else r.n_shingles)
         assert (r.component_id, r.kept) == ((want[r.doc_id], want[r.doc_id] == r.doc_id) if r.doc_id is not None else (None, True))
 
 
 def test_near_duplicates_odd_rows(odd, empty):
-    got = near_dedup.near_duplicates(odd).collect()
-    assert len(got) == odd.count()
-    check_near(got, dict(enumerate(ODD_TEXTS)))
+    for n in (1, 2, 5):
+        got = near_dedup.near_duplicates(odd, n).collect()
+        assert len(got) == odd.count()
+        check_near(got, dict(enumerate(ODD_TEXTS)), n)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -73,13 +74,15 @@ def test_near_duplicates_of_hot_nodes_and_components(spark):
         rows.append((i, " ".join(chain)))
     rows += [(i, passage(80, 1000 * i)) for i in range(75, 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dedup.near_duplicates(docs, node_rows=10, block_rows=12).collect()
-    check_near(got, dict(rows))
+    for n in (2, 5):
+        check_near(near_dedup.near_duplicates(docs, n, node_rows=10, block_rows=12).collect(), dict(rows), n)
 
 
 def test_near_duplicates_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    check_near(near_dedup.op7_near_dedup(spark, sf_dir).collect(), {r.doc_id: r.text for r in docs.collect()})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    check_near(near_dedup.op7_near_dedup(spark, sf_dir).collect(), texts, 2)
+    check_near(near_dedup.near_duplicates(docs).collect(), texts, 5)
 
 
 def test_substrings_odd_rows(odd, empty, spark):
