@@ -322,9 +322,11 @@ def _prompt_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def prompt_many_keys(docs: DataFrame, min_chars: int = K.PROMPT_MIN_CHARS, min_keys: int = K.PROMPT_MIN_KEYS,
-                     allowed_sha256: DataFrame | None = None) -> DataFrame:
-    """One prompt under many keys. ``allowed_sha256`` holds digests of known template prompts."""
-    pairs = _prompt_keys(docs, min_chars)
+                     allowed_sha256: DataFrame | None = None, start: datetime | None = None,
+                     end: datetime | None = None) -> DataFrame:
+    """One prompt under many keys within a window. ``allowed_sha256`` holds digests of known
+    template prompts."""
+    pairs = _prompt_keys(in_window(docs, start, end), min_chars)
     if allowed_sha256 is not None:
         pairs = pairs.join(allowed_sha256.select("prompt_sha256").distinct(), "prompt_sha256", "left_anti")
     return pairs.groupBy("prompt_sha256").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planewatch import constants as K
@@ -36,11 +38,13 @@ def documents_from_lines(lines: DataFrame, dataset: str, base_url: str = "",
     return documents_from_events(events_from_lines(lines, dataset), dataset, base_url, skip_health)
 
 
-def latest_events(lines: DataFrame, dataset: str, skip_health: bool = True) -> DataFrame:
+def latest_events(lines: DataFrame, dataset: str, skip_health: bool = True,
+                  bound: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Events after the upsert. Deduplicating here, before documents are built, shuffles flat
-    rows instead of nested ones."""
+    rows instead of nested ones. ``bound`` cuts the events before they are shuffled: a run that
+    begins at some time fetches nothing older."""
     kept = A.require_document_id(A.drop_health_checks(events_from_lines(lines, dataset), skip_health))
-    return upsert_latest(kept, keys=("document_id",))
+    return upsert_latest(bound(kept) if bound else kept, keys=("document_id",))
 
 
 def backfill(spark: SparkSession, archives: dict[str, str], base_url: str = "",

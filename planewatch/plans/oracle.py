@@ -434,8 +434,10 @@ SELECT date_trunc('hour', st) AS hour, count(DISTINCT key_hash) AS distinct_keys
 FROM gw WHERE action = 'auth_failure' GROUP BY 1"""
 _add("d10_auth_clusters", _AUTH)
 _add("stream_hourly_auth", _AUTH)
-_add("d11_content_without_gateway", """
-SELECT trace_id FROM ct WHERE trace_id NOT IN (SELECT trace_id FROM gw WHERE trace_id IS NOT NULL)
+_ENDED = f"TIMESTAMP '{NOW}' - INTERVAL {HEALTH_LAG} SECOND"
+_add("d11_content_without_gateway", f"""
+SELECT trace_id FROM ct WHERE st >= {_ENDED} - INTERVAL 3 DAY AND st < {_ENDED}
+  AND trace_id NOT IN (SELECT trace_id FROM gw WHERE trace_id IS NOT NULL AND st >= {_ENDED} - INTERVAL 3 DAY AND st < {_ENDED})
   AND trace_id NOT IN (SELECT trace_id FROM baseline)""")
 _add("d12_cost_disagreement", """
 SELECT trace_id, round(gc, 9) AS gateway_cost, round(cc, 9) AS content_cost FROM (
@@ -453,9 +455,11 @@ _add("d13_model_disagreement", """
 SELECT trace_id, g.model AS gateway_model, c.response_model AS content_model
 FROM gw_last g JOIN ct c USING (trace_id)
 WHERE regexp_replace(g.model, '^[^/]*/', '') <> regexp_replace(c.response_model, '^[^/]*/', '')""", _GW_LAST)
-_add("d14_prompt_many_keys", """
+_WITHIN = f"BETWEEN TIMESTAMP '{NOW}' - INTERVAL 3 DAY AND TIMESTAMP '{NOW}' - INTERVAL 1 MICROSECOND"
+_add("d14_prompt_many_keys", f"""
 SELECT sha256(user_prompt) AS prompt_sha256, length(user_prompt) AS prompt_chars, count(DISTINCT key_hash) AS distinct_keys
-FROM ct JOIN gw USING (trace_id) WHERE length(user_prompt) > 100 GROUP BY user_prompt HAVING count(DISTINCT key_hash) >= 3""")
+FROM ct JOIN gw USING (trace_id) WHERE length(user_prompt) > 100 AND ct.st {_WITHIN} AND gw.st {_WITHIN}
+  AND user_prompt NOT IN (SELECT user_text FROM conv WHERE system_text IS NOT NULL AND user_text IS NOT NULL) GROUP BY user_prompt HAVING count(DISTINCT key_hash) >= 3""")
 _add("d14_key_many_users", """
 SELECT key_hash, count(DISTINCT user_prompt) AS distinct_prompts, count(DISTINCT ct.user_name) AS distinct_users
 FROM ct JOIN gw USING (trace_id) WHERE user_prompt <> '' GROUP BY key_hash""")
@@ -554,13 +558,24 @@ SELECT DISTINCT 'gateway', trace_id FROM gw g WHERE trace_id IS NOT NULL AND NOT
   SELECT 1 FROM ct c WHERE g.trace_id = c.trace_id AND abs(epoch_us(g.st) - epoch_us(c.st)) <= 300000000)""")
 _add("incremental_ingest", "SELECT document_id, trace_id, st AS event_start FROM gw")
 
+_MODEL = "regexp_replace({}, '^[^/]*/', '')"
 _HITS = {
     "canary_output": f"contains(output, '{K.CANARY}')",
     "injection_phrase": "user_prompt ILIKE '%ignore%' AND user_prompt ILIKE '%previous%' AND user_prompt ILIKE '%instructions%'",
     "short_output": "output_length < 20",
     "token_ratio": "coalesce(input_tokens > 0 AND output_tokens::DOUBLE / input_tokens::DOUBLE > 2.0, FALSE)",
+    "model_routing": f"trace_id IN (SELECT trace_id FROM gw WHERE trace_id IS NOT NULL AND status = 'success' AND ({_expected}))",
+    "attempt_then_block": "trace_id IN (SELECT trace_id FROM pairs WHERE trace_id IS NOT NULL)",
+    "content_without_gateway": "trace_id NOT IN (SELECT trace_id FROM gw WHERE trace_id IS NOT NULL) AND trace_id NOT IN (SELECT trace_id FROM baseline)",
+    "cost_disagreement": """trace_id IN (
+      SELECT trace_id FROM v WHERE trace_id IS NOT NULL GROUP BY trace_id
+      HAVING sum(cost) FILTER (WHERE dataset = 'gateway') > 0 AND sum(cost) FILTER (WHERE dataset = 'content') > 0
+         AND abs(sum(cost) FILTER (WHERE dataset = 'gateway') - sum(cost) FILTER (WHERE dataset = 'content'))
+           / greatest(sum(cost) FILTER (WHERE dataset = 'gateway'), sum(cost) FILTER (WHERE dataset = 'content')) > 1e-6)""",
+    "model_disagreement": f"""trace_id IN (
+      SELECT trace_id FROM gw_last g JOIN ct c USING (trace_id) WHERE {_MODEL.format('g.model')} <> {_MODEL.format('c.response_model')})""",
 }
 _add("detection_scorecard", "\nUNION ALL\n".join(
     f"SELECT coalesce(scenario, 'unlabelled') AS label, '{rule}' AS rule, count(*) FILTER (WHERE {hit}) AS hits, "
     f"count(*) FILTER (WHERE NOT ({hit})) AS misses FROM ct GROUP BY 1" for rule, hit in _HITS.items()
-))
+), _SEQUENCE + "," + _VIEW + "," + _GW_LAST)

@@ -37,6 +37,9 @@ NOW = datetime(2024, 1, 16)
 BASE_URL = "https://traces.example/"
 # Digest of a key name that is known to be harmless.
 ALLOWED_HASHES = [hashlib.sha256(b"key-0").hexdigest()]
+# Rules 11 and 14 look at a window; three days give them something to find in these tables.
+RULE_WINDOW = timedelta(days=3)
+HEALTH_LAG = int(H.join_health_lag(timedelta(seconds=30), timedelta(seconds=10)).total_seconds())
 PROVIDER_EXCEPTIONS = ["ai21", "cloudflare", "replicate"]
 
 
@@ -162,9 +165,11 @@ def upsert(spark, sf_dir):
 
 @query("initial_bound")
 def initial_bound(spark, sf_dir):
-    return _both(lambda d: A.initial_bound(events(spark, sf_dir, d), d, now=NOW).select(
-        F.lit(d).alias("dataset"), "document_id", "request_ts"
-    ))
+    def bounded(d: str) -> DataFrame:
+        latest = derive.latest_events(lines(spark, sf_dir, d), d, bound=lambda e: A.initial_bound(e, d, now=NOW))
+        return latest.select(F.lit(d).alias("dataset"), "document_id", "request_ts")
+
+    return _both(bounded)
 
 
 @query("backfill")
@@ -457,14 +462,23 @@ _rule("d10_auth_clusters", R.auth_clusters, K.GATEWAY)
 _rule("d12_cost_disagreement", lambda d: R.cost_disagreement(d).select(
     "trace_id", _usd("gateway_cost").alias("gateway_cost"), _usd("content_cost").alias("content_cost")))
 _rule("d13_model_disagreement", R.model_disagreement)
-_rule("d14_prompt_many_keys", R.prompt_many_keys)
 _rule("d14_key_many_users", R.key_many_users)
 _rule("d15_enforcement_type", R.enforcement_type, K.GATEWAY)
 
 
 @query("d11_content_without_gateway")
 def d11_content_without_gateway(spark, sf_dir):
-    return R.content_without_gateway(documents(spark, sf_dir), planes.baseline(spark, sf_dir))
+    """A window that ends one lag before now, so that a record still on its way is not reported."""
+    end = NOW - timedelta(seconds=HEALTH_LAG)
+    return R.content_without_gateway(documents(spark, sf_dir), planes.baseline(spark, sf_dir), end - RULE_WINDOW, end)
+
+
+@query("d14_prompt_many_keys")
+def d14_prompt_many_keys(spark, sf_dir):
+    """Within a window, known templates left out: here the prompts of conversations with a system text."""
+    known = planes.conversation_texts(spark, sf_dir).filter("system_text IS NOT NULL AND user_text IS NOT NULL")
+    allowed = known.select(F.sha2("user_text", 256).alias("prompt_sha256"))
+    return R.prompt_many_keys(documents(spark, sf_dir), allowed_sha256=allowed, start=NOW - RULE_WINDOW, end=NOW)
 
 
 # ------------------------------------------------ G: correlation, join health
@@ -494,9 +508,6 @@ def join_health_lag(spark, sf_dir):
 
 
 # The default measurement is a quarter of an hour; three days give it something to count here.
-HEALTH_LAG = int(H.join_health_lag(timedelta(seconds=30), timedelta(seconds=10)).total_seconds())
-
-
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.join_health(
         documents(spark, sf_dir), planes.baseline(spark, sf_dir), NOW, window_seconds=3 * 86400, lag_seconds=HEALTH_LAG
@@ -531,19 +542,26 @@ def scorecard(spark, sf_dir):
         "injection_phrase": R.injection_phrase(docs),
         "short_output": R.short_output(docs),
         "token_ratio": R.token_ratio(docs),
+        "model_routing": R.model_routing(docs, EXPECTED_MODELS),
+        "attempt_then_block": R.attempt_then_block(docs),
+        "content_without_gateway": R.content_without_gateway(docs, planes.baseline(spark, sf_dir)),
+        "cost_disagreement": R.cost_disagreement(docs),
+        "model_disagreement": R.model_disagreement(docs),
     })
 
 
 # ----------------------------------------------------------------- I: streaming
 
 def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: str) -> None:
+    """Streams read rolled files in the order of time, one per micro-batch."""
     @query(name)
     def run(spark, sf_dir):
         archives = {}
         for d in datasets:
-            archives[d] = _archived(spark, sf_dir, d)
+            archives[d] = scratch_dir(spark, f"rolled-{d}")
+            planes.write_rolled(lines(spark, sf_dir, d), archives[d], scratch_dir(spark, f"lines-{d}"))
             runs.append_closing_record(spark, archives[d], d)
-        return run_stream(spark, archives)
+        return run_stream(spark, archives, files_per_batch=1)
 
 
 _stream_query("incremental_ingest", runs.incremental_ingest, K.GATEWAY)
