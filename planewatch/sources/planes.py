@@ -419,9 +419,9 @@ def write_rolled(lines: DataFrame, path: str, staging: str, files: int = 6) -> N
     """The archive as a collector that rolls its file leaves it: files in the order of time, later
     ones modified later. A line arrives up to four minutes after its time, so lines of neighbouring
     files overlap; one without a readable time goes to the first file. ``staging`` is a new folder."""
-    written = F.regexp_extract("raw", '"(?:timestamp|startTime)":"([^"Z+]*)', 1).try_cast("timestamp")
+    written = F.regexp_extract("raw", r'"(?:timestamp|startTime)"\s*:\s*"([^"Z+]*)', 1).try_cast("timestamp")
     # Versions of one record stay in their order: the same delay, and the given order inside a file.
-    record = F.regexp_extract("raw", '"(?:id|request_id)":"([^"]*)"', 1)
+    record = F.regexp_extract("raw", r'"(?:id|request_id)"\s*:\s*"([^"]*)"', 1)
     arrival = F.unix_seconds(written) + F.pmod(F.xxhash64(record), F.lit(240))
     timed = lines.select("raw", arrival.alias("arrival"), F.col("ingest_seq.row").alias("row"))
     first, last = timed.agg(F.min("arrival"), F.max("arrival")).first()

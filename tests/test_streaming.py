@@ -11,6 +11,7 @@ from planewatch.operators import detections as R
 from planewatch.plans import derive
 from planewatch.session import scratch_dir
 from planewatch.sources import archive as A
+from planewatch.sources import planes
 from planewatch.streaming import alerts, ingest, runs
 from tests.records import observation, refusal, spend, trace
 
@@ -173,3 +174,22 @@ def test_sequence_equals_batch(spark, tmp_path):
     expected = R.attempt_then_block(derive.backfill(spark, archives)).select("user_id", "request_id", "trace_id", "failed_at")
     assert out == sorted(map(tuple, expected.collect()))
     assert {"g1", "g6", "g11"} <= {r[1] for r in out} and not {"g0", "g12", "v1", "fine"} & {r[1] for r in out}
+
+
+def test_rolled_files_are_in_the_order_of_time_and_whole(spark, tmp_path):
+    """Late lines stay within four minutes; versions of one record keep their order; bad lines stay."""
+    records = [attempt(f"a{n}", f"t{n}", 500 * (n % 40)) for n in range(40)]
+    raw = [json.dumps(r) for r in records] + [json.dumps({**records[5], "request_duration_ms": 7}), "broken", ""]
+    lines = A.number_lines(spark.createDataFrame([(r,) for r in raw], "raw string").selectExpr(
+        "raw", "current_timestamp() AS at", "'f' AS file", "0L AS block"))
+    path = scratch_dir(spark, "rolled")
+    planes.write_rolled(lines, path, scratch_dir(spark, "staged"), files=4)
+    files = sorted((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".txt")), key=lambda f: os.stat(f).st_mtime_ns)
+    contents = [open(f).read().splitlines() for f in files]
+    assert len(files) == 4 and sorted(sum(contents, [])) == sorted(raw)
+    starts = [[json.loads(x)["startTime"] for x in c if x.startswith("{")] for c in contents]
+    late = dt.timedelta(minutes=4)
+    for a, b in zip(starts, starts[1:], strict=False):
+        assert dt.datetime.fromisoformat(max(a)) - dt.datetime.fromisoformat(min(b)) <= late
+    both = [x for c in contents for x in c if '"a5"' in x]
+    assert both == [raw[5], raw[40]]
