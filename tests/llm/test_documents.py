@@ -78,6 +78,37 @@ def test_near_duplicates_of_hot_nodes_and_components(spark):
         check_near(near_dedup.near_duplicates(docs, n, node_rows=10, block_rows=12).collect(), dict(rows), n)
 
 
+def test_near_duplicates_of_a_template_stay_in_bounded_tasks(spark, monkeypatch):
+    """Documents of one template, loosely linked and nearly all left over: no task holds more than two blocks of them."""
+    exact, block_rows = near_dedup._exact, 20
+
+    def watched(n):
+        compare = exact(n)
+
+        def run(batches):
+            def checked():
+                rows = {}
+                for batch in batches:
+                    for part in batch.column("part").to_pylist():
+                        rows[part] = rows.get(part, 0) + 1
+                    yield batch
+                if max(rows.values(), default=0) > 4 * block_rows:  # blocks are dealt by a hash: about 20 rows each
+                    raise ValueError(f"{max(rows.values())} rows in one task")
+
+            return compare(checked())
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_exact", watched)
+    rows = [(i, " ".join([passage(150), passage(35, 1000 * (i + 1))])) for i in range(200)]
+    rows += [(200 + i, rows[10 * i][1] + " one more") for i in range(15)]  # true copies, far apart in the blocks
+    rows += [(300, rows[3][1] + " " + passage(30, 1000 * 4 + 35)), (301, rows[3][1] + " " + passage(70, 1000 * 4 + 35))]  # a chain
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_near(near_dedup.near_duplicates(docs, 2, block_rows=block_rows).collect(), dict(rows), 2)
+    size = sum(len(t) for _, t in rows) // 11
+    check_near(near_dedup.near_duplicates(docs, 2, block_bytes=size).collect(), dict(rows), 2)
+
+
 def test_near_duplicates_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
