@@ -3,8 +3,14 @@
 A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. Each is
 normalised (ASCII letters in lower case, everything but letters and digits one space), and looked up
 among the known sentences, or taken as a copyright line. The text is then the sequence of the letters
-of its sentences, unknown runs being one ``.``. Rules are tried from the longest to the shortest; what
-one has matched is no longer open to the shorter ones.
+of its sentences, unknown runs being one ``.``. Those are the columns n_sentences and sequence.
+
+The licences are read from whole paragraphs, because texts are wrapped: a known sentence may go on
+over line ends, as long as it begins and ends at a line end, a sentence end or a semicolon. Numbers
+of lists and comment marks are dropped, and sentences that only complete texts have (``MORE``) are
+known too. Rules are tried from the longest to the shortest; what one has matched is no longer open to
+the shorter ones. A rule passes over the grant, conditions and disclaimers that a complete text has in
+between. On notices of one line each this gives what the sequence gives (``SQL`` says no more).
 
 All of it happens in the row, without a shuffle. Defined cases: a null or empty text has no sentences;
 repeated rows and null doc_ids are scanned one by one; an empty table gives an empty result; columns
@@ -52,6 +58,45 @@ ORDERED = sorted(RULES, key=lambda r: (-len(r[1]), r[1]))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# Sentences that stand between those above in complete texts; (the "License") may follow A.
+MORE = {
+    "R": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "S": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "T": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "U": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "A": SENTENCES["A"] + " the license",
+    "K": SENTENCES["K"].replace("neither", "and neither"),
+}
+# Where a rule has these two letters one after the other, a complete text may have what follows in between.
+BETWEEN = {"ZH": "L?[R.]?", "FG": "[S.]?", "EF": r"\.?", "MZ": r"\.?"}
+BREAK, LINE = "\x01", "\x02"
+
+
+def _pattern(word: str) -> str:
+    return word[0] + "".join(BETWEEN.get(a + b, "") + b for a, b in zip(word, word[1:], strict=False))
+
+
+def _paragraphs(text: Column) -> Column:
+    """The letters of the sentences of a text, wrapped or not."""
+    steps = [
+        (r"\r\n?", "\n"),
+        (r"(?m)^([^A-Za-z0-9\n]*)\(?(?:[0-9]{1,2}|[A-Za-z])[.)][ \t]+", "$1"),  # numbers of lists
+        (r"[.!?][ \t\n]+", BREAK),
+        # An address on a line of its own belongs to the sentence before it.
+        (";", LINE), (r"\n[^A-Za-z0-9\n]*\n(?![^A-Za-z0-9\n]*http)", BREAK), (r"\n", LINE),
+    ]
+    out = reduce(lambda t, step: F.regexp_replace(t, *map(F.lit, step)), steps, F.concat(F.lit(BREAK), text, F.lit(BREAK)))
+    out = F.regexp_replace(F.translate(out, UPPER, LOWER), f"[^a-z0-9{BREAK}{LINE}]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, f"[ {LINE}]*{BREAK}[ {LINE}{BREAK}]*", BREAK), f" ?{LINE}[ {LINE}]*", LINE)
+    edge = f"[{BREAK}{LINE}]"
+    known = sorted([*SENTENCES.items(), *MORE.items()], key=lambda x: -len(x[1]))
+    for letter, sentence in known:
+        out = F.regexp_replace(out, f"(?<={edge}){sentence.replace(' ', f'[ {LINE}]')}(?={edge})", letter)
+    line = f"(?<={edge}){COPYRIGHT_LINE[1:].replace('( |$)', f'(?: [^{BREAK}{LINE}A-Z]*)?')}(?={edge})"
+    out = F.regexp_replace(out, line, COPYRIGHT)
+    return F.regexp_replace(F.regexp_replace(out, "[^A-Z]*[a-z0-9][^A-Z]*", "."), edge, "")
+
+
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text that have a letter or digit."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
@@ -68,14 +113,17 @@ def _letter(sentence: Column) -> Column:
 
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sequence, licences (comma-separated, in the order of the rules; null if none)."""
-    split = docs.select("doc_id", sentences(F.col("text")).alias("own"))
+    # Every rule has a sentence with one of these words.
+    lower = F.translate("text", UPPER, LOWER)
+    letters = F.when(F.contains(lower, F.lit("licen")) | F.contains(lower, F.lit("copyright")), _paragraphs(F.col("text")))
+    split = docs.select("doc_id", sentences(F.col("text")).alias("own"), F.coalesce(letters, F.lit("")).alias("letters"))
     read = split.select(
         "doc_id", F.size("own").cast("long").alias("n_sentences"),
-        F.regexp_replace(F.array_join(F.transform("own", _letter), ""), r"\.+", ".").alias("sequence"),
+        F.regexp_replace(F.array_join(F.transform("own", _letter), ""), r"\.+", ".").alias("sequence"), "letters",
     )
     # The open rest after each rule: what earlier rules matched is cut out.
-    rests = reduce(lambda rests, rule: [*rests, F.replace(rests[-1], F.lit(rule[1]), F.lit("."))], ORDERED, [F.col("sequence")])
-    hits = [F.when(F.contains(rest, F.lit(word)), F.lit(name)) for rest, (name, word) in zip(rests, ORDERED, strict=False)]
+    rests = reduce(lambda rests, rule: [*rests, F.regexp_replace(rests[-1], _pattern(rule[1]), ".")], ORDERED, [F.col("letters")])
+    hits = [F.when(rest.rlike(_pattern(word)), F.lit(name)) for rest, (name, word) in zip(rests, ORDERED, strict=False)]
     found = F.array_distinct(F.array_compact(F.array(*hits)))
     return read.select("doc_id", "n_sentences", "sequence", F.when(F.size(found) > 0, F.array_join(found, ",")).alias("licences"))
 

@@ -270,3 +270,50 @@ def test_licences(odd, empty, spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licenses.licences(docs).collect()}
     assert {k: v and ",".join(sorted(v.split(","))) for k, v in got.items()} == {r[0]: r[2] for r in rows}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD2 = """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [0, 60, 78])
+def test_complete_licences(spark, mark, width):
+    import textwrap
+
+    texts = {"apache-2.0-header": "Copyright 2020 Some One\n\n" + APACHE, "mit-text": MIT, "bsd-2-clause": BSD2 + DISCLAIMER, "bsd-3-clause": BSD3 + DISCLAIMER, "gpl-3.0-or-later-notice": GPL}
+    rows = []
+    for name, text in texts.items():
+        lines = [x for line in text.split("\n") for x in (textwrap.wrap(line, width) if width and line else [line])]
+        for end in ("\n", "\r\n"):
+            rows.append((f"{name} {len(rows)}", end.join(["import x", "", *(mark + x for x in lines), "", "code()"])))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.licences for r in licenses.licences(docs).collect()} == {k: k.split()[0] for k, _ in rows}
+    no = spark.createDataFrame([(1, "It is not released under the MIT license."), (2, GPL.replace("version 3", "version 2"))], "doc_id long, text string")
+    assert all(r.licences is None for r in licenses.licences(no).collect())
