@@ -7,9 +7,10 @@ that is one running sum.
 
 Draws. The documents of a source are dealt by a hash of their id into blocks of about ``block_docs``.
 A target is so many whole passes over the source, then the first blocks whose words fit into the
-rest, then the documents of the next block that still fit, and the largest other one that fits into
-what is left. So every source ends close below its target, no document is used more than ``passes``
-times, and a rerun draws the same.
+rest, then every document of the next block that still fits, one after the other in the order of their
+keys and past those that do not fit. So every source ends below its target by less than the smallest
+document of that block that was left out (blocks after it are not asked), no document is used more
+than ``passes`` times, and a rerun draws the same.
 
 Shards. The drawn blocks of all sources are the urn. The root of a binary tree holds its exact count
 of draws per source; a node splits them over its two halves by one multivariate-hypergeometric draw
@@ -130,13 +131,14 @@ def mix(docs: DataFrame, share: int = SHARE, passes: int = PASSES, block_docs: i
     draws = draws.withColumn("draw", F.pmod((F.col("pass") * F.col("blocks") + F.col("block")) * F.col("stride"), F.col("n")))
     draws = draws.join(runs, ["number", "draw"]).select("number", "block", "pass", "shard", "before", "rest", (F.col("cut") & (F.col("pass") == F.col("whole"))).alias("cut"))
     uses = sized.select("key", "hash", "doc_id", "number", "block", "size").join(stored(draws, "draws"), ["number", "block"])
-    inside = Window.partitionBy("number", "block").orderBy("key")
-    partly = uses.where("cut").withColumn("upto", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # In a block that is cut: the documents that fit one after the other, and the largest other one that fits into what is left.
-    block_of = Window.partitionBy("number", "block")
-    partly = partly.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).over(block_of), F.col("before")))
-    other = F.when((F.col("upto") > F.col("rest")) & (F.col("size") <= F.col("gap")), F.struct("size", "key"))
-    partly = partly.withColumn("filler", F.max(other).over(block_of)).where("upto <= rest OR filler = struct(size, key)")
+    # In a block that is cut: every document that still fits when its turn comes. One block a source, of bounded rows.
+    partly = uses.where("cut").groupBy("number", "block", "before", "rest").agg(F.array_sort(F.collect_list(F.struct("key", "size"))).alias("docs"))
+    start = F.struct((F.col("rest") - F.col("before")).alias("gap"), F.array().cast("array<bigint>").alias("keys"))
+    filled = F.aggregate("docs", start, lambda s, d: F.when(
+        d["size"] <= s["gap"], F.struct((s["gap"] - d["size"]).alias("gap"), F.array_append(s["keys"], d["key"]).alias("keys"))
+    ).otherwise(s))
+    partly = partly.select("number", "block", F.explode(filled["keys"]).alias("key"))
+    partly = uses.where("cut").join(partly, ["number", "block", "key"], "left_semi")
     out = uses.where("not cut").unionByName(partly.select(uses.columns))
     out = out.select("key", "hash", "doc_id", "size", "pass", "shard", F.xxhash64("key", "pass", "shard").alias("place"))
     return out, sized.select("key", "doc_id", "source", "size", "source_size", "target")

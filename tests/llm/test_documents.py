@@ -222,6 +222,22 @@ def check_mix(docs):
     return len(shards)
 
 
+def test_mixing_goes_on_past_long_documents(spark):
+    """Sources of one block each, with documents too long for what is left: no unused document fits into the gap."""
+    rows = [(1000 * k + i, f"s{k}", passage(30 + i % 7)) for k in range(9) for i in range(100)]
+    rows += [(1000 * k + 500 + i, f"s{k}", passage(1200 + 10 * i)) for k in range(9) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    draws, sized = mixing.mix(docs)
+    uses, sources = Counter(r.key for r in draws.collect()), defaultdict(list)
+    for r in sized.collect():
+        sources[r.source].append(r)
+    for own in sources.values():
+        gap = own[0].target - sum(r.size * uses[r.key] for r in own)
+        passes = own[0].target // own[0].source_size
+        unused = [r.size for r in own if uses[r.key] <= passes]
+        assert gap >= -1e-6 and (passes == mixing.PASSES or gap < min(unused))
+
+
 def test_mixing(odd, empty, spark, sf_dir):
     check_mix(odd)
     check_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
