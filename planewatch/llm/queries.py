@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from planewatch.llm import (
     byte_bpe,
+    collocations,
     licenses,
     mixing,
     near_dedup,
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         quality_model.op1_quality_model, url_filters.op2_url_filters, quality_rules.op3_quality_rules, substring_dedup.op4_substring_dedup,
         vector_search.op5_vector_search, byte_bpe.op6_byte_bpe, near_dedup.op7_near_dedup, tool_calls.op8_tool_calls, licenses.op9_licenses,
-        mixing.op10_mixing,
+        mixing.op10_mixing, collocations.op11_collocations,
     )
 }
 SQL = {
@@ -29,4 +30,5 @@ SQL = {
     "op4_substring_dedup": substring_dedup.SQL,
     "op8_tool_calls": tool_calls.SQL,
     "op9_licenses": licenses.SQL,
+    "op11_collocations": collocations.SQL,
 }
