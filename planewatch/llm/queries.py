@@ -10,6 +10,7 @@ from planewatch.llm import (
     near_dedup,
     quality_model,
     quality_rules,
+    spelling,
     substring_dedup,
     tool_calls,
     url_filters,
@@ -21,7 +22,7 @@ QUERIES = {
     for f in (
         quality_model.op1_quality_model, url_filters.op2_url_filters, quality_rules.op3_quality_rules, substring_dedup.op4_substring_dedup,
         vector_search.op5_vector_search, byte_bpe.op6_byte_bpe, near_dedup.op7_near_dedup, tool_calls.op8_tool_calls, licenses.op9_licenses,
-        mixing.op10_mixing, collocations.op11_collocations,
+        mixing.op10_mixing, collocations.op11_collocations, spelling.op13_spelling,
     )
 }
 SQL = {
