@@ -5,12 +5,16 @@ it leads from its first three words to its last three. Every word position of ev
 gram, of four words or of what the piece has left. Tasks count equal grams of about ``BUFFER`` bytes of
 text before anything is shuffled.
 
-Flow. Grams arrive sorted by their words. What leaves a node, its edges and the ends of pieces in it,
-is the count of its phrase, so one pass over the sorted grams gives the counts of all phrases of one
-to four words: the sums over the runs of equal first words. A node whose whole flow leaves by one
-edge is compacted into it: one row then stands for all the lengths from ``low`` to ``k``. Rows below
-``least`` are dropped where their count is complete, which is all but the counts of single words and
-of hot pairs.
+Rows. A task's grams with the same first two words travel as one row, in which the other words and the
+counts stand as text: half as many bytes as a row per gram.
+
+Flow. Rows arrive sorted by their first two words. What leaves a node, its edges and the ends of pieces in
+it, is the count of its phrase, so one pass gives the counts of all phrases of one to four words.
+Where the first two words together are too rare, nothing behind them is read. A node whose whole
+flow leaves by one edge is compacted into it: one row then stands for all the lengths from ``low`` to
+``k``. Rows below ``least`` are dropped where their count is complete, which is all but the counts of
+single words, of hot pairs, and of pairs with more than ``OPEN`` different continuations in one task:
+what is known of those is handed on before it fills the memory, and added up afterwards.
 
 Hot pairs. Grams are dealt by their first two words. A pair with more than 1 in ``HOT`` of all
 positions is found beforehand (each task names the pairs above that share of a buffer, at most ``2 *
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +50,13 @@ from pyspark.sql import functions as F
 from planewatch.llm.words import stored, table
 
 LEAST, INSIDE, TOP = 30, 80, 2000
-BUFFER, HOT, DEALT = 3 << 20, 512, 256
+BUFFER, HOT, OPEN, DEALT = 3 << 20, 512, 32 << 20, 256
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 IS_BREAK, IS_BLANK = np.zeros(256, bool), np.zeros(256, bool)
 IS_BREAK[list(BREAKS)] = True
 IS_BLANK[list(BLANKS)] = True
 GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
 AHEAD = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\n-\r]+){0,3}")
-GRAM = ["lang", "w1", "w2", "w3", "w4"]
 
 
 def _stretches(text: bytes, most: int) -> Iterator[tuple[bytes, int]]:
@@ -113,12 +117,21 @@ class _Grams:
         self.n = np.diff(np.r_[new, len(high)])
         self.high, self.low = high[new], low[new]
 
-    def columns(self) -> list[pa.Array]:
-        mask = (1 << 21) - 1
-        out = [pa.array(self.names).take(pa.array(self.high >> 42))]
-        for ids in (self.high >> 21 & mask, self.high & mask, self.low >> 21, self.low & mask):
-            out.append(self.words.take(pa.array(ids - 1, mask=ids == 0)).cast(pa.string()))
-        return out
+    def rows(self, hot: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
+        """One row per language and pair of first words (and part): the words behind them, and how often."""
+        part, mask = self.parts(hot), (1 << 21) - 1
+        order = np.lexsort((self.low, part, self.high)) if part.any() else np.arange(len(part))
+        high, low, part, n = self.high[order], self.low[order], part[order], self.n[order]
+        new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (part[1:] != part[:-1])][: len(high)])
+        spaced = pa.concat_arrays([pa.array([b""], pa.binary()), pc.binary_join_element_wise(self.words, b" ", b"")])
+        many, back = np.unique(n, return_inverse=True)
+        times = pa.array([b"" if m == 1 else b"\t%d" % m for m in many.tolist()], pa.binary()).take(pa.array(back))
+        behind = pc.binary_join_element_wise(spaced.take(pa.array(low >> 21)), spaced.take(pa.array(low & mask)), times, b"")
+        behind = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[new, len(high)].astype(np.int32)), behind), b"\n")
+        key = pc.binary_join_element_wise(spaced.take(pa.array(high[new] >> 21 & mask)), spaced.take(pa.array(high[new] & mask)), b"")
+        lang = pa.array(self.names, pa.string()).take(pa.array(high[new] >> 42))
+        total = np.add.reduceat(n, new) if len(new) else n
+        return pa.RecordBatch.from_arrays([lang, key, pa.array(part[new]), pa.array(total), behind], ["lang", "key", "part", "n", "behind"])
 
     def pair(self, lang: str, first: str, second: str) -> int | None:
         """The number that stands for a pair in ``high``."""
@@ -150,8 +163,8 @@ def _hot(most: int, hot: int):
             if len(new):
                 n = np.add.reduceat(grams.n, new)
                 often = (n * hot > n.sum()) & (grams.high[new] & (1 << 21) - 1 > 0)
-                names = [c.take(pa.array(new[often])) for c in grams.columns()[:3]]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(n[often])], ["lang", "w1", "w2", "n"])
+                pairs = [(grams.names[h >> 42], *(grams.words[i - 1].as_py().decode() for i in (h >> 21 & (1 << 21) - 1, h & (1 << 21) - 1))) for h in grams.high[new[often]].tolist()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (zip(*pairs, strict=True) if pairs else ([], [], []))), pa.array(n[often])], ["lang", "w1", "w2", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string())] * 3 + [pa.array([total])], ["lang", "w1", "w2", "n"])
 
     return run
@@ -168,108 +181,149 @@ def hot_pairs(texts: DataFrame, most: int, hot: int) -> list[tuple[str, str, str
 def _edges(most: int, hot: list[tuple[str, str, str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches, most):
-            grams = _Grams(buffer)
-            out = pa.RecordBatch.from_arrays([*grams.columns(), pa.array(grams.parts(hot)), pa.array(grams.n)], [*GRAM, "part", "n"])
-            for at in range(0, out.num_rows, 1 << 16):
-                yield out.slice(at, 1 << 16)
+            out = _Grams(buffer).rows(hot)
+            for at in range(0, out.num_rows, 1 << 15):
+                yield out.slice(at, 1 << 15)
 
     return run
 
 
-def _changes(column: pa.Array) -> np.ndarray:
-    """Where a column differs from the row before."""
-    a, b = column.slice(1), column.slice(0, len(column) - 1)
-    differ = pc.fill_null(pc.not_equal(a, b), False)
-    return np.r_[True, np.array(pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b))))]
-
-
-def _flow(least: int):
-    """Counts of all phrases from grams sorted by lang, w1, w2, part, w3, w4. Only the sums of the phrases
-    still open at the end of a batch are carried on."""
+def _first_words(key: pa.Array) -> pa.Array:
+    """The first word of each key: what stands before its first space."""
+    offsets = np.frombuffer(key.buffers()[1], np.int32)[key.offset : key.offset + len(key) + 1]
+    raw = np.frombuffer(key.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    start = (offsets - offsets[0]).astype(np.int64)
+    space = np.flatnonzero(raw == 32)
+    length = space[np.searchsorted(space, start[:-1])] - start[:-1]
+    ends = np.r_[0, np.cumsum(length)]
+    letters = raw[np.arange(ends[-1]) + np.repeat(start[:-1] - ends[:-1], length)]
+    return pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+
+
+def _differ(column: pa.Array) -> np.ndarray:
+    """Where a column without nulls differs from the row before."""
+    return np.r_[True, np.array(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)))]
+
+
+class _Node:
+    """What is known of one pair of first words: its flow, and the counts of what stands behind it."""
+
+    def __init__(self, lang: str, key: bytes, part: int) -> None:
+        self.name, self.n, self.bytes = (lang, key, part), 0, 0
+        self.held: list[bytes] = []
+        self.counts: Counter = Counter()
+        self.partial = part > 0  # other tasks or rows have more of it
+
+    def add(self, n: int, behind: bytes) -> None:
+        self.n += n
+        self.held.append(behind)
+        self.bytes += len(behind)
+
+    def read(self) -> None:
+        for entry, times in Counter(b"\n".join(self.held).split(b"\n")).items() if self.held else ():
+            words, tab, n = entry.partition(b"\t")
+            self.counts[words] += times * int(n) if tab else times
+        self.held, self.bytes = [], 0
+
+    def rows(self, least: int) -> Iterator[tuple[str, bytes, int, int, int]]:
+        """(lang, words each followed by a space, k, low, f)."""
+        lang, key, _ = self.name
+        if key.count(b" ") < 2 or self.n < least and not self.partial:
+            return  # the end of a piece, or a pair too rare for anything behind it
+        self.read()
+        flows: Counter = Counter()
+        for words, n in self.counts.items():
+            if words:
+                flows[words[: words.index(b" ") + 1]] += n
+        fewest = 1 if self.partial else least
+        lows, whole = {}, self.partial
+        for third, n in flows.items():
+            if n >= fewest:
+                lows[third] = 2 if n == self.n and not self.partial else 3
+                whole |= n == self.n and not self.partial
+        if self.partial or not whole:
+            yield lang, key, 2, 2, self.n
+        edges = {}
+        for words, n in self.counts.items():
+            if n >= fewest and words.count(b" ") == 2:
+                third = words[: words.index(b" ") + 1]
+                unary = n == flows[third] and not self.partial
+                edges[third] = edges.get(third, False) or unary
+                yield lang, key + words, 4, lows[third] if unary else 4, n
+        for third, low in lows.items():
+            if not edges.get(third, False):
+                yield lang, key + third, 3, low, flows[third]
+
+
+def _flow(least: int, most: int):
+    """Counts of all phrases from rows sorted by part, lang and key. One pair is open at a time."""
+    schema = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("k", pa.int32()), ("low", pa.int32()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Level k: columns that tell its phrases apart, and the columns of its words.
-        keys = {1: ("lang", "w1"), 2: ("lang", "w1", "w2", "part"), 3: ("lang", "w1", "w2", "part", "w3"), 4: ("lang", "w1", "w2", "part", "w3", "w4")}
-        carried: dict[int, tuple] = {}
-
-        def rows(key: tuple, k: int, n: int) -> dict:
-            named = dict(zip(keys[k], key, strict=True))
-            return {**{c: named.get(c) for c in GRAM}, "k": k, "low": k, "f": n}
-
-        def told(key: tuple, k: int, n: int) -> bool:
-            whole = k == 1 or key[3:4] != (0,) and k < 4
-            return (k == 1 or key[-1] is not None) and (whole or n >= least)
-
-        schema = pa.schema([*((c, pa.string()) for c in GRAM), ("k", pa.int32()), ("low", pa.int32()), ("f", pa.int64())])
+        node = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, part = batch.column("n").to_numpy(), batch.column("part").to_numpy()
-            late, new = [], np.zeros(batch.num_rows, bool)
-            starts, sums, inside = {}, {}, {}
-            differ = {c: _changes(batch.column(c)) for c in keys[4]}
-            for k in keys:
-                for c in keys[k]:
-                    new = new | differ[c]
-                starts[k] = np.flatnonzero(new)
-                sums[k] = np.add.reduceat(n, starts[k])
-                inside[k] = np.ones(len(starts[k]), bool)
-                inside[k][[0, -1]] = False  # these may go on in another batch
-                first, last = (tuple(batch.column(c)[int(i)].as_py() for c in keys[k]) for i in (0, starts[k][-1]))
-                if k in carried:
-                    if carried[k][0] == first:
-                        sums[k][0] += carried[k][1]
-                    elif told(carried[k][0], k, carried[k][1]):
-                        late.append(rows(carried[k][0], k, carried[k][1]))
-                carried[k] = last, int(sums[k][-1])
-            if late:
-                yield pa.RecordBatch.from_pylist(late, schema)
-            skip: dict[int, np.ndarray] = {k: np.zeros(len(starts[k]), bool) for k in keys}
-            low = {k: np.full(len(starts[k]), k, np.int32) for k in keys}
-            for k in (2, 3):  # nodes that one edge leaves, and nothing else
-                at = np.searchsorted(starts[k + 1], starts[k])
-                single = np.diff(np.r_[at, len(starts[k + 1])]) == 1
-                goes = np.array(batch.column(f"w{k + 1}").is_valid())[starts[k]]
-                unary = inside[k] & single & goes & inside[k + 1][at] & (part[starts[k]] == 0)
-                low[k + 1][at[unary]] = low[k][unary]
-                skip[k] = unary
-            for k in keys:
-                keep = ~skip[k]
-                keep[-1] = False  # carried on
-                if k > 1:
-                    keep &= np.array(batch.column(f"w{k}").is_valid())[starts[k]]
-                    whole = (sums[k] >= least) | ((part[starts[k]] > 0) if k < 4 else False)
-                    keep &= whole
-                at = starts[k][keep]
-                if not len(at):
-                    continue
-                names = [batch.column(c).take(pa.array(at)) if c == "lang" or int(c[1]) <= k else pa.nulls(len(at), pa.string()) for c in GRAM]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(at), k, np.int32)), pa.array(low[k][keep]), pa.array(sums[k][keep])], schema=schema)
-        late = [rows(key, k, n) for k, (key, n) in carried.items() if told(key, k, n)]
-        if late:
-            yield pa.RecordBatch.from_pylist(late, schema)
+            lang, key, part, n, behind = (batch.column(c) for c in ("lang", "key", "part", "n", "behind"))
+            n, other = n.to_numpy(), _differ(lang)
+            first = _first_words(key)
+            runs = np.flatnonzero(other | _differ(first))
+            ones = pc.binary_join_element_wise(first.take(pa.array(runs)), b" ", b"")
+            one = np.full(len(runs), 1, np.int32)
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(runs)), ones, pa.array(one), pa.array(one), pa.array(np.add.reduceat(n, runs))], schema=schema)
+            starts = np.flatnonzero(other | _differ(key) | _differ(part))
+            stops = np.r_[starts[1:], batch.num_rows]
+            sums = np.add.reduceat(n, starts)
+            # Pairs that are too rare, and neither first nor last of the batch, are passed over.
+            look = (sums >= least) | (part.to_numpy()[starts] > 0)
+            look[[0, -1]] = True
+            out = []
+            for a, b in zip(starts[look].tolist(), stops[look].tolist(), strict=True):
+                name = (lang[a].as_py(), key[a].as_py(), part[a].as_py())
+                if node is None or node.name != name:
+                    if node is not None:
+                        out.extend(node.rows(least))
+                    node = _Node(*name)
+                for i in range(a, b):
+                    node.add(int(n[i]), behind[i].as_py())
+                    if node.bytes > most:
+                        node.read()
+                        if len(node.counts) * 64 > most:
+                            node.partial = True
+                            yield from _batches(node.rows(least), schema)
+                            node.n, node.counts = 0, Counter()
+            yield from _batches(out, schema)
+        if node is not None:
+            yield from _batches(node.rows(least), schema)
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, buffer: int = BUFFER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def _batches(rows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = list(rows)
+    for at in range(0, len(rows), 1 << 15):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 15)], strict=True), schema.types, strict=True)], schema=schema)
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, buffer: int = BUFFER, hot: int = HOT, open_bytes: int = OPEN) -> tuple[DataFrame, DataFrame]:
     """(phrases, words). phrases: lang, phrase, m (its words, 1 to 4), f, of all phrases counted at least
     ``least`` times; words: lang, n, the count of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    edges = texts.mapInArrow(_edges(buffer, hot_pairs(texts, buffer, hot)), "lang string, w1 string, w2 string, w3 string, w4 string, part int, n long")
-    dealt = edges.repartition("lang", "w1", "w2", "part").sortWithinPartitions("lang", "w1", "w2", "part", "w3", "w4")
-    graph = stored(dealt.mapInArrow(_flow(least), "lang string, w1 string, w2 string, w3 string, w4 string, k int, low int, f long"), "graph")
-    single = stored(graph.where("k = 1").groupBy("lang", "w1").agg(F.sum("f").alias("f")), "words")
-    spread = graph.where("k > 1").select("lang", F.array("w1", "w2", "w3", "w4").alias("w"), "f", F.explode(F.sequence("low", "k")).alias("m"))
+    edges = texts.mapInArrow(_edges(buffer, hot_pairs(texts, buffer, hot)), "lang string, key binary, part int, n long, behind binary")
+    dealt = edges.repartition("lang", "key", "part").sortWithinPartitions("part", "lang", "key")
+    graph = dealt.mapInArrow(_flow(least, open_bytes), "lang string, words binary, k int, low int, f long")
+    graph = stored(graph.select("lang", F.rtrim(F.col("words").cast("string")).alias("words"), "k", "low", "f"), "graph")
+    single = stored(graph.where("k = 1").groupBy("lang", F.col("words").alias("w1")).agg(F.sum("f").alias("f")), "words")
+    spread = graph.where("k > 1").select("lang", F.split("words", " ", -1).alias("w"), "f", F.explode(F.sequence("low", "k")).alias("m"))
     phrase = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("m"))).alias("phrase")
     longer = spread.select("lang", phrase, "m", "f").groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f"))
     counted = longer.unionByName(single.select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("m"), "f")).where(F.col("f") >= least)
     return stored(counted, "phrases"), single.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP, buffer: int = BUFFER, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP, buffer: int = BUFFER, hot: int = HOT, open_bytes: int = OPEN) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to four words of each language."""
-    phrases, words = phrase_counts(docs, least, buffer, hot)
+    phrases, words = phrase_counts(docs, least, buffer, hot, open_bytes)
     candidates = phrases.where("m > 1").select("lang", "phrase", "m", F.col("f").alias("a"))
     w = F.split("phrase", " ", -1)
     cuts = candidates.select("lang", "phrase", "m", "a", w.alias("w"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("cut"))
