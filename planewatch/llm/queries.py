@@ -5,6 +5,7 @@ from __future__ import annotations
 from planewatch.llm import (
     byte_bpe,
     collocations,
+    jaccard_join,
     licenses,
     mixing,
     near_dedup,
@@ -22,7 +23,7 @@ QUERIES = {
     for f in (
         quality_model.op1_quality_model, url_filters.op2_url_filters, quality_rules.op3_quality_rules, substring_dedup.op4_substring_dedup,
         vector_search.op5_vector_search, byte_bpe.op6_byte_bpe, near_dedup.op7_near_dedup, tool_calls.op8_tool_calls, licenses.op9_licenses,
-        mixing.op10_mixing, collocations.op11_collocations, spelling.op13_spelling,
+        mixing.op10_mixing, collocations.op11_collocations, jaccard_join.op12_jaccard_join, spelling.op13_spelling,
     )
 }
 SQL = {
@@ -32,4 +33,5 @@ SQL = {
     "op8_tool_calls": tool_calls.SQL,
     "op9_licenses": licenses.SQL,
     "op11_collocations": collocations.SQL,
+    "op12_jaccard_join": jaccard_join.SQL,
 }
