@@ -5,10 +5,10 @@ it leads from its first three words to its last three. Every word position of ev
 gram, of four words or of what the piece has left. Tasks count equal grams of about ``BUFFER`` bytes of
 text before anything is shuffled.
 
-Rows. A task's grams with the same first two words travel as one row, in which the other words and the
-counts stand as text: half as many bytes as a row per gram.
+Rows. A task's grams with the same first two words travel as one line of text, ``lang <tab> two words``
+and then, each on a line of its own, the words behind them with a count if it is not 1.
 
-Flow. Rows arrive sorted by their first two words. What leaves a node, its edges and the ends of pieces in
+Flow. Lines arrive sorted. What leaves a node, its edges and the ends of pieces in
 it, is the count of its phrase, so one pass gives the counts of all phrases of one to four words.
 Where the first two words together are too rare, nothing behind them is read. A node whose whole
 flow leaves by one edge is compacted into it: one row then stands for all the lengths from ``low`` to
@@ -84,6 +84,22 @@ def _buffers(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tupl
         yield held
 
 
+def _named(lang: str) -> bytes:
+    """A language without the marks that lines are made of."""
+    name = lang.encode()
+    return b"\x01" + name.hex().encode() if set(name) & set(b"\t\n\r") or name[:1] == b"\x01" else name
+
+
+def _unnamed(name: bytes) -> str:
+    return (bytes.fromhex(name[1:].decode()) if name[:1] == b"\x01" else name).decode()
+
+
+def _noted(numbers: np.ndarray, form: bytes, usual: int) -> pa.Array:
+    """Numbers as text, empty for the usual one."""
+    some, back = np.unique(numbers, return_inverse=True)
+    return pa.array([b"" if x == usual else form % x for x in some.tolist()], pa.binary()).take(pa.array(back.reshape(-1)))
+
+
 class _Grams:
     """The distinct grams of one buffer, sorted, as places in the sorted list of its words (0 is none), and their counts."""
 
@@ -117,21 +133,19 @@ class _Grams:
         self.n = np.diff(np.r_[new, len(high)])
         self.high, self.low = high[new], low[new]
 
-    def rows(self, hot: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
-        """One row per language and pair of first words (and part): the words behind them, and how often."""
+    def rows(self, hot: list[tuple[str, str, str, int]]) -> pa.Array:
+        """One line per language and pair of first words (and part), with the words behind them."""
         part, mask = self.parts(hot), (1 << 21) - 1
         order = np.lexsort((self.low, part, self.high)) if part.any() else np.arange(len(part))
         high, low, part, n = self.high[order], self.low[order], part[order], self.n[order]
         new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (part[1:] != part[:-1])][: len(high)])
-        spaced = pa.concat_arrays([pa.array([b""], pa.binary()), pc.binary_join_element_wise(self.words, b" ", b"")])
-        many, back = np.unique(n, return_inverse=True)
-        times = pa.array([b"" if m == 1 else b"\t%d" % m for m in many.tolist()], pa.binary()).take(pa.array(back))
-        behind = pc.binary_join_element_wise(spaced.take(pa.array(low >> 21)), spaced.take(pa.array(low & mask)), times, b"")
+        none = pa.array([b""], pa.binary())
+        plain, spaced = pa.concat_arrays([none, self.words]), pa.concat_arrays([none, pc.binary_join_element_wise(b" ", self.words, b"")])
+        behind = pc.binary_join_element_wise(plain.take(pa.array(low >> 21)), spaced.take(pa.array(low & mask)), _noted(n, b"\t%d", 1), b"")
         behind = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[new, len(high)].astype(np.int32)), behind), b"\n")
-        key = pc.binary_join_element_wise(spaced.take(pa.array(high[new] >> 21 & mask)), spaced.take(pa.array(high[new] & mask)), b"")
-        lang = pa.array(self.names, pa.string()).take(pa.array(high[new] >> 42))
-        total = np.add.reduceat(n, new) if len(new) else n
-        return pa.RecordBatch.from_arrays([lang, key, pa.array(part[new]), pa.array(total), behind], ["lang", "key", "part", "n", "behind"])
+        lang = pa.array([_named(x) + b"\t" for x in self.names], pa.binary()).take(pa.array(high[new] >> 42))
+        first, second = plain.take(pa.array(high[new] >> 21 & mask)), spaced.take(pa.array(high[new] & mask))
+        return pc.binary_join_element_wise(lang, first, second, _noted(part[new], b"\r%d", 0), b"\n", behind, b"")
 
     def pair(self, lang: str, first: str, second: str) -> int | None:
         """The number that stands for a pair in ``high``."""
@@ -181,23 +195,45 @@ def hot_pairs(texts: DataFrame, most: int, hot: int) -> list[tuple[str, str, str
 def _edges(most: int, hot: list[tuple[str, str, str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches, most):
-            out = _Grams(buffer).rows(hot)
-            for at in range(0, out.num_rows, 1 << 15):
-                yield out.slice(at, 1 << 15)
+            rows = _Grams(buffer).rows(hot)
+            for at in range(0, len(rows), 1 << 15):
+                yield pa.RecordBatch.from_arrays([rows.slice(at, 1 << 15)], ["line"])
 
     return run
 
 
-def _first_words(key: pa.Array) -> pa.Array:
-    """The first word of each key: what stands before its first space."""
-    offsets = np.frombuffer(key.buffers()[1], np.int32)[key.offset : key.offset + len(key) + 1]
-    raw = np.frombuffer(key.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    start = (offsets - offsets[0]).astype(np.int64)
-    space = np.flatnonzero(raw == 32)
-    length = space[np.searchsorted(space, start[:-1])] - start[:-1]
-    ends = np.r_[0, np.cumsum(length)]
-    letters = raw[np.arange(ends[-1]) + np.repeat(start[:-1] - ends[:-1], length)]
-    return pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+class _Lines:
+    """Where the keys and the first words of lines end, and how many grams each line holds."""
+
+    def __init__(self, lines: pa.Array) -> None:
+        offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+        self.raw = np.frombuffer(lines.buffers()[2], np.uint8)[: offsets[-1]]
+        self.start, self.stop = offsets[:-1], offsets[1:]
+        turn = np.flatnonzero(self.raw == 10)
+        first = np.searchsorted(turn, self.start)
+        self.key = turn[first]
+        gap = np.flatnonzero((self.raw == 32) | (self.raw == 13) | (self.raw == 10))
+        tab = np.flatnonzero(self.raw == 9)
+        self.lang = tab[np.searchsorted(tab, self.start)]
+        self.word = gap[np.searchsorted(gap, self.lang)]
+        self.n = np.searchsorted(turn, self.stop) - first
+        # Counts that are told: what they say, less the one that the entry itself counts for.
+        at = tab[tab > self.key[np.searchsorted(self.start, tab, "right") - 1]]
+        row, said, going = np.searchsorted(self.start, at, "right") - 1, np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for k in range(1, 20):
+            place = np.minimum(at + k, len(self.raw) - 1)
+            going &= (at + k < self.stop[row]) & (self.raw[place] > 47) & (self.raw[place] < 58)
+            if not going.any():
+                break
+            said[going] = said[going] * 10 + self.raw[place[going]] - 48
+        np.add.at(self.n, row, said - 1)
+
+    def heads(self, stop: np.ndarray) -> pa.Array:
+        """The beginnings of the lines, up to the given places."""
+        length = stop - self.start
+        ends = np.r_[0, np.cumsum(length)]
+        letters = self.raw[np.arange(ends[-1]) + np.repeat(self.start - ends[:-1], length)]
+        return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
 
 
 def _differ(column: pa.Array) -> np.ndarray:
@@ -208,11 +244,11 @@ def _differ(column: pa.Array) -> np.ndarray:
 class _Node:
     """What is known of one pair of first words: its flow, and the counts of what stands behind it."""
 
-    def __init__(self, lang: str, key: bytes, part: int) -> None:
-        self.name, self.n, self.bytes = (lang, key, part), 0, 0
+    def __init__(self, key: bytes) -> None:
+        self.key, self.n, self.bytes = key, 0, 0
         self.held: list[bytes] = []
         self.counts: Counter = Counter()
-        self.partial = part > 0  # other tasks or rows have more of it
+        self.partial = b"\r" in key  # other tasks have more of it
 
     def add(self, n: int, behind: bytes) -> None:
         self.n += n
@@ -226,37 +262,39 @@ class _Node:
         self.held, self.bytes = [], 0
 
     def rows(self, least: int) -> Iterator[tuple[str, bytes, int, int, int]]:
-        """(lang, words each followed by a space, k, low, f)."""
-        lang, key, _ = self.name
-        if key.count(b" ") < 2 or self.n < least and not self.partial:
+        """(lang, words, k, low, f)."""
+        lang, _, key = self.key.partition(b"\r")[0].partition(b"\t")
+        if b" " not in key or self.n < least and not self.partial:
             return  # the end of a piece, or a pair too rare for anything behind it
         self.read()
-        flows: Counter = Counter()
+        lang, flows = _unnamed(lang), Counter()
         for words, n in self.counts.items():
             if words:
-                flows[words[: words.index(b" ") + 1]] += n
+                flows[words.partition(b" ")[0]] += n
         fewest = 1 if self.partial else least
-        lows, whole = {}, self.partial
+        lows, whole = {}, False
         for third, n in flows.items():
             if n >= fewest:
-                lows[third] = 2 if n == self.n and not self.partial else 3
-                whole |= n == self.n and not self.partial
-        if self.partial or not whole:
+                unary = n == self.n and not self.partial
+                lows[third] = 2 if unary else 3
+                whole |= unary
+        if not whole:
             yield lang, key, 2, 2, self.n
-        edges = {}
+        compacted = set()
         for words, n in self.counts.items():
-            if n >= fewest and words.count(b" ") == 2:
-                third = words[: words.index(b" ") + 1]
+            third, more, _ = words.partition(b" ")
+            if more and n >= fewest:
                 unary = n == flows[third] and not self.partial
-                edges[third] = edges.get(third, False) or unary
-                yield lang, key + words, 4, lows[third] if unary else 4, n
+                if unary:
+                    compacted.add(third)
+                yield lang, key + b" " + words, 4, lows[third] if unary else 4, n
         for third, low in lows.items():
-            if not edges.get(third, False):
-                yield lang, key + third, 3, low, flows[third]
+            if third not in compacted:
+                yield lang, key + b" " + third, 3, low, flows[third]
 
 
 def _flow(least: int, most: int):
-    """Counts of all phrases from rows sorted by part, lang and key. One pair is open at a time."""
+    """Counts of all phrases from sorted lines. One pair is open at a time."""
     schema = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("k", pa.int32()), ("low", pa.int32()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,34 +302,37 @@ def _flow(least: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, key, part, n, behind = (batch.column(c) for c in ("lang", "key", "part", "n", "behind"))
-            n, other = n.to_numpy(), _differ(lang)
-            first = _first_words(key)
-            runs = np.flatnonzero(other | _differ(first))
-            ones = pc.binary_join_element_wise(first.take(pa.array(runs)), b" ", b"")
-            one = np.full(len(runs), 1, np.int32)
-            yield pa.RecordBatch.from_arrays([lang.take(pa.array(runs)), ones, pa.array(one), pa.array(one), pa.array(np.add.reduceat(n, runs))], schema=schema)
-            starts = np.flatnonzero(other | _differ(key) | _differ(part))
+            column = batch.column("line")
+            lines = _Lines(column)
+            first = lines.heads(lines.word)
+            runs = np.flatnonzero(_differ(first))
+            out = []
+            for head, n in zip(first.take(pa.array(runs)).to_pylist(), np.add.reduceat(lines.n, runs).tolist(), strict=True):
+                lang, _, word = head.partition(b"\t")
+                out.append((_unnamed(lang), word, 1, 1, n))
+            starts = np.flatnonzero(_differ(lines.heads(lines.key)))
             stops = np.r_[starts[1:], batch.num_rows]
-            sums = np.add.reduceat(n, starts)
             # Pairs that are too rare, and neither first nor last of the batch, are passed over.
-            look = (sums >= least) | (part.to_numpy()[starts] > 0)
+            look = (np.add.reduceat(lines.n, starts) >= least) | (lines.raw[lines.word[starts]] == 32) & _dealt_apart(lines, starts)
             look[[0, -1]] = True
-            out = []
             for a, b in zip(starts[look].tolist(), stops[look].tolist(), strict=True):
-                name = (lang[a].as_py(), key[a].as_py(), part[a].as_py())
-                if node is None or node.name != name:
-                    if node is not None:
-                        out.extend(node.rows(least))
-                    node = _Node(*name)
                 for i in range(a, b):
-                    node.add(int(n[i]), behind[i].as_py())
+                    line = column[i].as_py()
+                    split = int(lines.key[i] - lines.start[i])
+                    if node is None or node.key != line[:split]:
+                        if node is not None:
+                            out.extend(node.rows(least))
+                        node = _Node(line[:split])
+                    node.add(int(lines.n[i]), line[split + 1 :])
                     if node.bytes > most:
                         node.read()
                         if len(node.counts) * 64 > most:
                             node.partial = True
-                            yield from _batches(node.rows(least), schema)
+                            out.extend(node.rows(least))
                             node.n, node.counts = 0, Counter()
+                if len(out) > 1 << 17:
+                    yield from _batches(out, schema)
+                    out = []
             yield from _batches(out, schema)
         if node is not None:
             yield from _batches(node.rows(least), schema)
@@ -299,6 +340,12 @@ def _flow(least: int, most: int):
     return run
 
 
+def _dealt_apart(lines: _Lines, rows: np.ndarray) -> np.ndarray:
+    """Whether the key of a row names a part of a hot pair."""
+    mark = np.flatnonzero(lines.raw == 13)
+    return np.searchsorted(mark, lines.key[rows]) > np.searchsorted(mark, lines.start[rows])
+
+
 def _batches(rows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     rows = list(rows)
     for at in range(0, len(rows), 1 << 15):
@@ -309,10 +356,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, buffer: int = BUFFER, hot
     """(phrases, words). phrases: lang, phrase, m (its words, 1 to 4), f, of all phrases counted at least
     ``least`` times; words: lang, n, the count of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    edges = texts.mapInArrow(_edges(buffer, hot_pairs(texts, buffer, hot)), "lang string, key binary, part int, n long, behind binary")
-    dealt = edges.repartition("lang", "key", "part").sortWithinPartitions("part", "lang", "key")
+    edges = texts.mapInArrow(_edges(buffer, hot_pairs(texts, buffer, hot)), "line binary")
+    dealt = edges.repartition(F.substring_index(F.col("line").cast("string"), "\n", 1)).sortWithinPartitions("line")
     graph = dealt.mapInArrow(_flow(least, open_bytes), "lang string, words binary, k int, low int, f long")
-    graph = stored(graph.select("lang", F.rtrim(F.col("words").cast("string")).alias("words"), "k", "low", "f"), "graph")
+    graph = stored(graph.select("lang", F.col("words").cast("string").alias("words"), "k", "low", "f"), "graph")
     single = stored(graph.where("k = 1").groupBy("lang", F.col("words").alias("w1")).agg(F.sum("f").alias("f")), "words")
     spread = graph.where("k > 1").select("lang", F.split("words", " ", -1).alias("w"), "f", F.explode(F.sequence("low", "k")).alias("m"))
     phrase = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("m"))).alias("phrase")
