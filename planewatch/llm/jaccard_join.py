@@ -16,7 +16,7 @@ common plus the fewer of those doubled ones. Dual traversal starts at (root, roo
 pairs of children, and drops pairs whose possible overlap is below what their smallest sizes ask for, or
 whose classes are known to be connected. All trees of a task are traversed at once.
 
-What is left of a tree, groups of classes that could link, is compared exactly on full texts, by a search from
+What is left of a tree goes through the same traversal with bitmaps of one or two bits a shingle. Then of classes that could link are compared exactly on full texts, by a search from
 each class through those not yet found, so that large groups of copies do not turn into all pairs.
 
 Two rounds. First each class visits only the first of its trees, which connects most groups of copies. Then
@@ -104,8 +104,13 @@ def shingle_counts(signed: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The narrower bitmap of the same set: places are low bits of a hash."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 def _prefixes(counts, words: int):
-    """Per row the digest, the size, the bitmap and the first shingles in the common order."""
+    """Per row the digest, the size, the bitmap, the wide bitmap and the first shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -113,16 +118,22 @@ def _prefixes(counts, words: int):
             sets, starts = shingle_sets(hashes, texts, words)
             size = np.diff(starts)
             doc = np.repeat(np.arange(len(texts)), size)
-            bits = np.zeros(len(texts) * BITS // 64, np.uint64)
-            bit = mix(sets ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)
-            np.bitwise_or.at(bits, doc * (BITS // 64) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            wide = np.array([max(BITS, 1 << int(n).bit_length()) for n in size], np.int64)  # one or two bits a shingle
+            at = np.r_[0, np.cumsum(wide // 64)]
+            bits = np.zeros(at[-1], np.uint64)
+            bit = mix(sets ^ np.uint64(0x5851F42D4C957F2D)) & (wide[doc] - 1).astype(np.uint64)
+            np.bitwise_or.at(bits, at[:-1][doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            own = [bits[a:b] for a, b in zip(at, at[1:], strict=False)]
             order = np.lexsort((sets, counts.value[_cells(sets)], doc))
             first = size - (THRESHOLD * size + 99) // 100 + (size > 0)
             keep = np.arange(len(sets)) - starts[:-1][doc] < first[doc]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)].astype(np.int32)), pa.array(sets[order][keep].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), _digests(sets, starts), pa.array(size), pa.array([x.tobytes() for x in bits.reshape(len(texts), -1)], pa.binary()), lists],
-                ["doc_id", "digest", "size", "bitmap", "first"],
+                [
+                    rows.column("doc_id"), _digests(sets, starts), pa.array(size), pa.array([_folded(x, BITS // 64).tobytes() for x in own], pa.binary()),
+                    pa.array([x.tobytes() for x in own], pa.binary()), lists,
+                ],
+                ["doc_id", "digest", "size", "bitmap", "wide", "first"],
             )
 
     return run
@@ -224,13 +235,32 @@ def _whole_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _wide_enough(wide: list[bytes], size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose wide bitmaps leave room for the overlap they need."""
+    words = np.array([len(x) // 8 for x in wide])
+    keep = np.zeros(len(a), bool)
+    for both in np.unique(np.minimum(words[a], words[b])).tolist():
+        here = np.flatnonzero(np.minimum(words[a], words[b]) == both)
+        rows, place = np.unique(np.r_[a[here], b[here]], return_inverse=True)
+        bits = np.stack([_folded(np.frombuffer(wide[r], np.uint64), both) for r in rows.tolist()])
+        doubled = size[rows] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        x, y = place.reshape(2, -1)
+        for at in range(0, len(here), step := max(1, (1 << 22) // both)):
+            p, q = x[at : at + step], y[at : at + step]
+            overlap = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + np.minimum(doubled[p], doubled[q])
+            keep[here[at : at + step]] = (100 + THRESHOLD) * overlap >= THRESHOLD * (size[rows[p]] + size[rows[q]])
+    return a[keep], b[keep]
+
+
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each tree the groups of rows connected by pairs that may link, named by what is in them."""
     for rows in _whole_trees(batches):
         group, node, size, part, side = (rows.column(c).to_numpy() for c in ("tree", "node", "size", "part", "side"))
         bitmap = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         found = list(Forest(group, size, bitmap, part, side.astype(np.int64)).pairs())
-        if not found:
+        if found and "wide" in rows.column_names:
+            found = [_wide_enough(rows.column("wide").to_pylist(), size, *np.concatenate(found, axis=1))]
+        if not found or not len(found[0][0]):
             continue
         a, b = np.concatenate(found, axis=1)
         root = np.arange(len(group))
@@ -308,8 +338,12 @@ def _round(posts: DataFrame, members: DataFrame, texts: DataFrame, words: int, b
     """Links (a, b) found in the trees of ``posts`` (tree, node); members: node, size, bitmap, part."""
     rows = _dealt(posts, block, every).join(members, "node")
     rows = rows.select("tree", "node", "size", "part", "side", "bitmap").repartition("tree").sortWithinPartitions("tree", "size", "node")
-    groups = rows.mapInArrow(_traverse, "cluster long, node long, part long").distinct()
-    groups = stored(groups, f"{label}-groups")
+    schema = "cluster long, node long, part long"
+    groups = stored(rows.mapInArrow(_traverse, schema).distinct(), f"{label}-loose-groups")
+    # Once more with bitmaps as wide as the sets are large, which are too heavy to be in every tree.
+    again = groups.select(F.col("cluster").alias("tree"), "node", "part", F.lit(0).alias("side")).join(members.select("node", "size", "bitmap", "wide"), "node")
+    again = again.repartition("tree").sortWithinPartitions("tree", "size", "node").mapInArrow(_traverse, schema)
+    groups = stored(again.distinct(), f"{label}-groups")
     met = groups.join(texts, "node").select("cluster", "node", "part", "text")
     return met.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_links(words), "a long, b long")
 
@@ -323,7 +357,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, block: int = BLOCK)
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(passed))
     able = signed.where("doc_id is not null and digest is not null")
     classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    prefixed = texts.where("doc_id is not null").mapInArrow(_prefixes(counts, words), "doc_id long, digest binary, size long, bitmap binary, first array<long>")
+    prefixed = texts.where("doc_id is not null").mapInArrow(_prefixes(counts, words), "doc_id long, digest binary, size long, bitmap binary, wide binary, first array<long>")
     members = prefixed.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     members = stored(members.withColumnRenamed("doc_id", "node"), "members")
     posts = members.select("node", F.posexplode("first").alias("place", "tree"))
@@ -333,7 +367,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, block: int = BLOCK)
     several = able.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes"))
     several = several.where("a < b").select("a", F.explode("nodes").alias("b")).where("a < b")
     read = texts.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    bare = members.select("node", "size", "bitmap")
+    bare = members.select("node", "size", "bitmap", "wide")
     first = posts.groupBy("node").agg(F.min_by("tree", "place").alias("tree"))
     links = stored(_round(first, bare.withColumn("part", F.col("node")), read, words, block, False, "first").unionByName(several), "first-links")
     found = stored(components(links, "first"), "first-components")

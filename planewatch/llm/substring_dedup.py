@@ -5,21 +5,23 @@ among the runs of ``GRAM`` words inside the window. Equal windows have equal anc
 an anchor is never below the count of any of its windows, and about one anchor stands for twenty of
 them. A block is a run of consecutive windows with one anchor.
 
-1. Each task counts the anchors of its documents in a count-min sketch of ``2 ** width`` cells a row,
-   which stop at two; the sketches are merged piece by piece. The estimate is never too low.
+1. Each task names the cells of its anchors in a count-min sketch of ``ROWS`` rows, which stop at two;
+   they are merged piece by piece. The estimate is never too low. A row has eight cells for every block
+   that texts of this size have, up to ``2 ** MOST_WIDTH`` (64 MB for both rows as bits). Larger sketches
+   would not fit a broadcast, and asking a sketch that is spread over the cluster moves each block
+   as far as step 2 does; so beyond some 50 GB of text step 2 gets a growing share of all blocks.
 2. Blocks whose anchor is estimated to be repeated (no others can hold a repeated window) are grouped
    exactly, by a 128-bit hash of all their words. A block found in a smaller doc_id is removed as a whole.
 3. Where an anchor has blocks of different words, the windows of those blocks are grouped exactly too,
    each block speaking once, through its smallest document. Which of its windows also start in a
-   smaller doc_id is all that step 2 has left open.
-4. Spans of removed words meet the texts by doc_id.
-
-The sketch and the bitmap of blocks sent to the tasks have a fixed size. A corpus too large for them
-makes the filter let more through, up to everything, and the result stays the same.
-
-Defined cases: a null text has no words; a null doc_id neither removes nor loses words; rows that
-repeat a doc_id are one document, whose spans are the union over its rows; an empty table gives an
-empty result; columns other than doc_id and text play no part.
+   smaller doc_id is all that step 2 has left open. The tasks find those blocks by a bitmap with eight bits
+   for each of them or, where that would be larger than ``2 ** MOST_WIDTH`` bits, by a join.
+4. Spans of removed words meet the texts by doc_id and a hash of the text.
+
+Defined cases: a null text has no words; a null doc_id neither removes nor loses words; of rows that repeat a
+doc_id each loses its own repeated words (none because of the other, whose doc_id is not smaller); a
+very long text is one document like any other, worked on by itself; an empty table gives an empty result;
+columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewatch.llm.words import Powers, WordHashes, id_and_text, mix, slices, stored, table
 
 WINDOW, GRAM, ROWS = 50, 10, 2
+MOST_WIDTH, BLOCK_BYTES, CELLS_PER_BLOCK = 28, 256, 8
 PIECE = 1 << 15  # cells of one stored piece of the sketch
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -82,56 +86,58 @@ def _cells(anchor: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def _count(width: int):
-    """Pieces of this task's sketch: which cells were counted once or more, and twice or more."""
+    """The cells of this task's anchors, sorted, piece by piece; each at most twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows()
-        counts = np.zeros((ROWS, 1 << width), np.uint8)
         for _, texts in slices(batches):
             windows.read(texts)
             for row in range(ROWS):
-                cells, n = np.unique(_cells(windows.anchor, row, width), return_counts=True)
-                counts[row, cells] = np.minimum(counts[row, cells] + np.minimum(n, 2), 2)
-        for row in range(ROWS):
-            pieces = counts[row].reshape(-1, PIECE)
-            used = np.flatnonzero(pieces.any(axis=1))
-            for some in np.array_split(used, max(1, len(used) // 256)):
+                cells = np.sort(_cells(windows.anchor, row, width))
+                if not len(cells):
+                    continue
+                cells = cells[np.r_[np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]]]
+                piece = cells // PIECE
+                edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                offsets = np.r_[edge, len(cells)] * 2
+                inside = pa.py_buffer((cells % PIECE).astype(np.uint16))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row * len(pieces) + some, pa.int64()),
-                        pa.array([np.packbits(pieces[i] > 0).tobytes() for i in some], pa.binary()),
-                        pa.array([np.packbits(pieces[i] > 1).tobytes() for i in some], pa.binary()),
-                    ],
-                    ["piece", "once", "twice"],
+                    [pa.array((row << width) // PIECE + piece[edge]), pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets.astype(np.int32)), inside])],
+                    ["piece", "cells"],
                 )
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up pieces that arrive sorted; keeps, per piece, the cells counted twice or more."""
-    piece, once, twice = None, 0, 0
-    done: list[tuple[int, bytes]] = []
+    """Adds up pieces that arrive sorted; keeps, per piece, the cells counted twice or more as bits."""
+    at, counts = None, np.zeros(PIECE, np.int64)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if (counts > 1).any():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], ["piece", "twice"])
+
     for batch in batches:
-        for p, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = int.from_bytes(a), int.from_bytes(b)
-            if p == piece:
-                once, twice = once | a, twice | b | once & a
-            else:
-                if twice:
-                    done.append((piece, twice.to_bytes(PIECE // 8)))
-                piece, once, twice = p, a, b
-    if twice:
-        done.append((piece, twice.to_bytes(PIECE // 8)))
-    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int64()), pa.array([b for _, b in done], pa.binary())], ["piece", "twice"])
+        for piece, cells in zip(batch.column("piece").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            if piece != at:
+                yield from told()
+                at = piece
+                counts[:] = 0
+            np.add.at(counts, np.frombuffer(cells, np.uint16), 1)
+    yield from told()
+
+
+def sketch_width(blocks: int, cells: int = CELLS_PER_BLOCK, most: int = MOST_WIDTH) -> int:
+    """How many cells, as a power of two, that many blocks ask for."""
+    return min(most, max(PIECE.bit_length() - 1, (blocks * cells - 1).bit_length()))
 
 
 def repeated_anchors(texts: DataFrame, width: int) -> np.ndarray:
     """The merged sketch as ROWS bitmaps of 2 ** width bits: cells counted at least twice."""
-    pieces = texts.mapInArrow(_count(width), "piece long, once binary, twice binary")
+    pieces = texts.mapInArrow(_count(width), "piece long, cells binary")
     merged = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_merge, "piece long, twice binary")
     out = np.zeros((ROWS * (1 << width) // PIECE, PIECE // 8), np.uint8)
-    for r in merged.collect():  # at most ROWS * 2 ** width bits, whatever the input
+    for r in merged.toLocalIterator():  # at most ROWS * 2 ** MOST_WIDTH bits, whatever the input
         out[r.piece] = np.frombuffer(r.twice, np.uint8)
     return out.reshape(ROWS, -1)
 
@@ -152,13 +158,26 @@ def _blocks(sketch, width: int):
             h1, h2 = windows.digests(at, stop)
             ids, first = rows.column("doc_id").to_numpy(), windows.offset[doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc]), pa.array(windows.anchor[seen].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at - first), pa.array(stop - first)],
-                ["doc_id", "anchor", "h1", "h2", "start", "stop"],
+                [pa.array(ids[doc]), rows.column("row").take(pa.array(doc)), pa.array(windows.anchor[seen].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at - first), pa.array(stop - first)],
+                ["doc_id", "row", "anchor", "h1", "h2", "start", "stop"],
             )
 
     return run
 
 
+def _windows_of(windows: _Windows, rows: pa.RecordBatch, doc: np.ndarray, at: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """``many`` windows from each place on."""
+    first = np.r_[0, np.cumsum(many)]
+    start = np.arange(first[-1]) + np.repeat(at - first[:-1], many)
+    doc = np.repeat(doc, many)
+    w1, w2 = windows.digests(start, start + WINDOW)
+    begin = start - windows.offset[doc]
+    return pa.RecordBatch.from_arrays(
+        [rows.column("doc_id").take(pa.array(doc)), rows.column("row").take(pa.array(doc)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(begin), pa.array(begin + WINDOW)],
+        ["doc_id", "row", "h1", "h2", "start", "stop"],
+    )
+
+
 def _open_windows(sketch, width: int):
     """Windows of the blocks whose bit is set. A bit set by chance adds true windows of true documents."""
 
@@ -172,46 +191,72 @@ def _open_windows(sketch, width: int):
             h1, _ = windows.digests(windows.block_at, windows.block_stop)
             seen = _test(bits, (h1.view(np.int64) ^ ids[windows.block_doc]) & ((1 << width) - 1))
             at, many = windows.block_at[seen], windows.block_stop[seen] - WINDOW + 1 - windows.block_at[seen]
-            if not len(at):
-                continue
-            first = np.r_[0, np.cumsum(many)]
-            start = np.arange(first[-1]) + np.repeat(at - first[:-1], many)
-            doc = np.repeat(windows.block_doc[seen], many)
-            w1, w2 = windows.digests(start, start + WINDOW)
-            begin = start - windows.offset[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc]), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(begin), pa.array(begin + WINDOW)],
-                ["doc_id", "h1", "h2", "start", "stop"],
-            )
+            if len(at):
+                yield _windows_of(windows, rows, windows.block_doc[seen], at, many)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 24, open_width: int = 24) -> DataFrame:
-    """doc_id, start, stop: runs of words (numbered from 0, stop excluded) to remove; they may overlap."""
+def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the blocks listed with each text."""
+    windows = _Windows()
+    for rows, texts in slices(batches):
+        windows.read(texts)
+        if not len(windows.anchor):
+            continue
+        starts, stops = rows.column("starts"), rows.column("stops")
+        doc = np.repeat(np.arange(len(texts)), np.array(pc.list_value_length(starts)))
+        start, stop = starts.flatten().to_numpy(), stops.flatten().to_numpy()
+        yield _windows_of(windows, rows, doc, start + windows.offset[doc], stop - WINDOW + 1 - start)
+
+
+def _marked(opened: DataFrame, width: int) -> np.ndarray:
+    """A bitmap of 2 ** width bits with the blocks (h1, first)."""
+    cell = F.col("h1").bitwiseXOR(F.col("first")).bitwiseAND(F.lit((1 << width) - 1)) + 1
+    cells = opened.select(cell.alias("cell"))
+    pieces = cells.groupBy(F.bitmap_bucket_number("cell").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    bits = np.zeros(((1 << width) // PIECE, PIECE // 8), np.uint8)
+    for r in pieces.toLocalIterator():  # at most 2 ** MOST_WIDTH bits
+        bits[r.piece - 1] = np.frombuffer(r.bits, np.uint8)
+    return np.packbits(np.unpackbits(bits.reshape(-1), bitorder="little"))
+
+
+def repeated_spans(docs: DataFrame, most_width: int = MOST_WIDTH) -> DataFrame:
+    """doc_id, row, start, stop: runs of words (numbered from 0, stop excluded) to remove; they may overlap.
+    ``row`` is a hash of the text, which tells different texts of one doc_id apart."""
     spark = docs.sparkSession
-    texts = id_and_text(docs).where("doc_id is not null")
+    texts = with_row(docs).where("doc_id is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = sketch_width(size // BLOCK_BYTES + 1, most=most_width)
     sketch = spark.sparkContext.broadcast(repeated_anchors(texts, width))
     found = stored(
-        texts.mapInArrow(_blocks(sketch, width), "doc_id long, anchor long, h1 long, h2 long, start long, stop long"), "blocks"
+        texts.mapInArrow(_blocks(sketch, width), "doc_id long, row long, anchor long, h1 long, h2 long, start long, stop long"), "blocks"
     )
     block = stored(found.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first")), "block-first")
-    whole = found.join(block, ["anchor", "h1", "h2"]).where("first < doc_id").select("doc_id", "start", "stop")
+    whole = found.join(block, ["anchor", "h1", "h2"]).where("first < doc_id").select("doc_id", "row", "start", "stop")
     several = block.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    cell = F.col("h1").bitwiseXOR(F.col("first")).bitwiseAND(F.lit((1 << open_width) - 1))
-    opened = block.join(several.select("anchor"), "anchor", "left_semi").select((cell + 1).alias("cell"))
-    pieces = opened.groupBy(F.bitmap_bucket_number("cell").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    bits = np.zeros(((1 << open_width) // PIECE, PIECE // 8), np.uint8)
-    for r in pieces.collect():  # at most 2 ** open_width bits
-        bits[r.piece - 1] = np.frombuffer(r.bits, np.uint8)
-    bits = np.packbits(np.unpackbits(bits.reshape(-1), bitorder="little"))
-    opened_bits = spark.sparkContext.broadcast(bits)
-    single = stored(texts.mapInArrow(_open_windows(opened_bits, open_width), "doc_id long, h1 long, h2 long, start long, stop long"), "windows")
+    opened = stored(block.join(several.select("anchor"), "anchor", "left_semi"), "open-blocks")
+    count = opened.count()
+    schema = "doc_id long, row long, h1 long, h2 long, start long, stop long"
+    if count * CELLS_PER_BLOCK <= 1 << most_width:
+        open_width = sketch_width(count + 1, most=most_width)
+        single = texts.mapInArrow(_open_windows(spark.sparkContext.broadcast(_marked(opened, open_width)), open_width), schema)
+    else:
+        speaking = found.join(opened, ["anchor", "h1", "h2"]).where("first = doc_id")
+        lists = speaking.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("b"))
+        lists = lists.select("doc_id", "row", F.col("b.start").alias("starts"), F.col("b.stop").alias("stops"))
+        single = texts.dropDuplicates(["doc_id", "row"]).join(lists, ["doc_id", "row"]).mapInArrow(_listed_windows, schema)
+    single = stored(single, "windows")
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    parts = single.join(earliest, ["h1", "h2"]).where("first < doc_id").select("doc_id", "start", "stop")
+    parts = single.join(earliest, ["h1", "h2"]).where("first < doc_id").select("doc_id", "row", "start", "stop")
     return whole.unionByName(parts)
 
 
+def with_row(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text as bytes, row."""
+    return id_and_text(docs, *more).withColumn("row", F.xxhash64("text"))
+
+
 def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(zip(starts, stops, strict=True)):
@@ -253,11 +298,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def without_repeats(docs: DataFrame, width: int = 24, open_width: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), most_width: int = MOST_WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and left_text (the text without the removed words), one row
     per row of ``docs``; columns named in ``carry`` are passed on."""
-    spans = repeated_spans(docs, width, open_width).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = id_and_text(docs, *carry).join(spans, "doc_id", "left").select("doc_id", "text", "starts", "stops", *carry)
+    spans = repeated_spans(docs, most_width).groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    joined = with_row(docs, *carry).join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "stops", *carry)
     more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     out = joined.mapInArrow(_remove, f"doc_id long, {more}n_words long, n_removed long, kept_sha256 string, left_text binary")
     return out.withColumn("left_text", F.col("left_text").cast("string"))

@@ -122,8 +122,8 @@ def test_substrings_odd_rows(odd, empty, spark):
         w = words(t)
         for k in range(len(w) - 49):
             first.setdefault(tuple(w[k : k + 50]), i)
-    for width in (15, 24):  # 15: a sketch so small that it may let anything through
-        for r in substring_dedup.without_repeats(odd, width, width).collect():
+    for width in (15, 28):  # 15: a sketch so small that it may let anything through
+        for r in substring_dedup.without_repeats(odd, most_width=width).collect():
             w = words(ODD_TEXTS[r.doc_id]) if r.doc_id is not None else None
             if w is None:
                 assert r.n_removed == 0
@@ -137,6 +137,37 @@ def test_substrings_odd_rows(odd, empty, spark):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("open_bits", [28, 15])
+def test_substrings_of_two_texts_under_one_id(spark, open_bits, monkeypatch):
+    """Spans of one text must not cut another one of the same id, shorter or longer; blocks come by bitmap or by join."""
+    if open_bits == 15:
+        monkeypatch.setattr(substring_dedup, "CELLS_PER_BLOCK", 1 << 15)  # no bitmap is large enough
+    clean = [passage(55, 9000), passage(300, 20_000)]
+    rows = [(1, passage(80)), (2, "head " + passage(120) + " tail"), (2, clean[0]), (2, clean[1]), (2, clean[1]), (3, passage(70, 20_100)), (3, clean[0] + " more"), (4, passage(100, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in rows:
+        for k in range(len(t.split()) - 49):
+            w = tuple(t.split()[k : k + 50])
+            first[w] = min(i, first.get(w, i))
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    got = [(r.doc_id, r.n_words, r.n_removed, " ".join(words_of(r.left_text))) for r in substring_dedup.without_repeats(docs, most_width=open_bits).collect()]
+    assert sorted(got) == sorted(want)
+    assert {g[2] for g in got if g[0] == 2} == {80, 0}
+
+
+def words_of(text):
+    return [w.decode() for w in words(text)]
+
+
+def test_sketch_widths():
+    assert substring_dedup.sketch_width(1) == 15 and substring_dedup.sketch_width(10**6) == 23 and substring_dedup.sketch_width(10**12) == 28
+
+
 def brute_repeats(w, least, length=None):
     n, inside = len(w), set()
     for span in [length] if length else range(least, n):
