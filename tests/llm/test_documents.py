@@ -168,6 +168,33 @@ def test_sketch_widths():
     assert substring_dedup.sketch_width(1) == 15 and substring_dedup.sketch_width(10**6) == 23 and substring_dedup.sketch_width(10**12) == 28
 
 
+def test_each_limit_of_repetition_rejects_alone(spark):
+    texts = {
+        "clean": passage(400), "covered": passage(30) + " " + passage(400, 1000) + " " + passage(30), "few": passage(20) + " " + passage(400, 1000) + " " + passage(20),
+        "longest": passage(60) + " " + passage(2000, 1000) + " " + passage(60), "short enough": passage(49) + " " + passage(2000, 1000) + " " + passage(49),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {name: r for name, r in zip(texts, sorted(quality_rules.quality_rules(docs).collect(), key=lambda r: r.doc_id), strict=True)}
+    assert not any(r.base_failed for r in got.values())
+    assert [name for name, r in got.items() if not r.kept] == ["covered", "longest"]
+    covered, longest = got["covered"], got["longest"]
+    assert 100 * covered.n_covered > quality_rules.COVERED * covered.n_words and covered.longest_repeat <= quality_rules.LONGEST
+    assert 100 * longest.n_covered <= quality_rules.COVERED * longest.n_words and longest.longest_repeat > quality_rules.LONGEST
+
+
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    a, b, c = passage(60), passage(60, 500), passage(60, 900)
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " x"), (4, c), (5, ""), (5, c), (None, a), (None, None), (6, passage(60, 3000)), (6, passage(60, 4000))]
+    docs = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, key string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs, 2).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 5, True), (0, 0, True), (0, 0, True), (6, 6, True), (6, 6, True)])
+    kept = near_dedup.kept_rows(docs, 2)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(1, a), (2, b), (4, c), (5, ""), (0, a), (0, ""), (6, passage(60, 3000)), (6, passage(60, 4000))])
+    assert sorted(r.doc_id for r in near_dedup.kept_rows(docs.where("doc_id in (1, 4)").unionAll(docs.where("doc_id = 1")), 2).collect()) == [1, 4]
+
+
 def brute_repeats(w, least, length=None):
     n, inside = len(w), set()
     for span in [length] if length else range(least, n):
