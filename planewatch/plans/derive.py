@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from planewatch import constants as K
 from planewatch.functions.content import content_events, decode_content
@@ -27,6 +28,80 @@ def events_from_lines(lines: DataFrame, dataset: str) -> DataFrame:
     return events_from_decoded(decode(lines.filter(~A.is_blank(F.col("raw"))), dataset), dataset)
 
 
+#: What a line can turn out to be; each line is exactly one of them.
+EVENT, HEALTH, NO_ID, BAD, BLANK = "event", "health", "no_id", "bad", "blank"
+
+
+def classified(lines: DataFrame, dataset: str) -> DataFrame:
+    """Every line, decoded once: `kind`, for bad ones `reason` and `excerpt`, and the fields of its event.
+
+    What is known of a line that has no record travels inside its place, past the functions that read records.
+    """
+    blank = A.is_blank(F.col("raw"))
+    bad = ~blank & F.col("reason").isNotNull()
+    place = F.struct(
+        F.col("ingest_seq").alias("place"), F.when(blank, BLANK).when(bad, BAD).alias("kind"),
+        F.when(bad, F.col("reason")).alias("reason"), F.when(bad, A.excerpt(F.col("raw"))).alias("excerpt"),
+    )
+    record = F.explode_outer(F.when(~blank & F.col("reason").isNull(), F.array("w")))
+    rows = decode(lines, dataset).select(place.alias("ingest_seq"), record.alias("w"))
+    events = content_events(rows) if dataset == K.CONTENT else gateway_events(rows)
+    kind = F.coalesce(
+        F.col("ingest_seq.kind"), F.when(F.col("is_health_check"), HEALTH), F.when(F.col("document_id").isNull(), NO_ID), F.lit(EVENT)
+    )
+    return events.select(
+        F.col("ingest_seq.place").alias("ingest_seq"), kind.alias("kind"), F.col("ingest_seq.reason").alias("reason"),
+        F.col("ingest_seq.excerpt").alias("excerpt"), *(c for c in events.columns if c != "ingest_seq"),
+    )
+
+
+class BackfillRun:
+    """One pass over the archives, several outputs.
+
+    Each archive is decoded once and its lines are written by what they are. Documents, quarantine, health
+    checks and counters are then read from their own part: a reader of the quarantine opens the folder of bad
+    lines only, and the counters read no text at all. A missing archive is skipped.
+    """
+
+    def __init__(self, spark: SparkSession, archives: dict[str, str], out: str, base_url: str = "") -> None:
+        self.spark, self.out, self.base_url = spark, out, base_url
+        self.schemas: dict[str, T.StructType] = {}
+        for dataset, path in archives.items():
+            lines = A.scan_lines_or_none(spark, path)
+            if lines is not None:
+                rows = classified(A.number_lines(lines), dataset)
+                rows.write.partitionBy("kind").parquet(f"{out}/dataset={dataset}")
+                fields = [f for f in rows.schema.fields if f.name != "kind"]
+                self.schemas[dataset] = T.StructType([*fields, T.StructField("kind", T.StringType())])
+        if not self.schemas:
+            raise ValueError(f"no archive found: {archives}")
+
+    def rows(self, dataset: str, *kinds: str) -> DataFrame:
+        found = self.spark.read.schema(self.schemas[dataset]).parquet(f"{self.out}/dataset={dataset}")
+        return found.filter(F.col("kind").isin(*kinds)) if kinds else found
+
+    def documents(self, dataset: str, skip_health: bool = True) -> DataFrame:
+        kinds = (EVENT,) if skip_health else (EVENT, HEALTH)
+        found = A.require_document_id(self.rows(dataset, *kinds)).drop("kind", "reason", "excerpt")
+        latest = upsert_latest(found, keys=("document_id",))
+        return content_documents(latest, self.base_url) if dataset == K.CONTENT else gateway_documents(latest)
+
+    def all_documents(self, skip_health: bool = True) -> DataFrame:
+        parts = {d: self.documents(d, skip_health) for d in self.schemas}
+        return A.dataset_view(parts[K.CONTENT], parts[K.GATEWAY]) if len(parts) == 2 else next(iter(parts.values()))
+
+    def quarantine(self, dataset: str) -> DataFrame:
+        return self.rows(dataset, BAD).select(F.lit(dataset).alias("dataset"), "ingest_seq", "reason", "excerpt")
+
+    def counters(self, dataset: str) -> DataFrame:
+        """lines / parsed / parse_errors / skipped / queued, one row."""
+        of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+        return self.rows(dataset).agg(
+            F.count(F.lit(1)).alias("lines"), of(EVENT, HEALTH, NO_ID).alias("parsed"), of(BAD).alias("parse_errors"),
+            of(HEALTH, NO_ID).alias("skipped"), of(EVENT).alias("queued"),
+        ).select(F.lit(dataset).alias("dataset"), "*")
+
+
 def documents_from_events(events: DataFrame, dataset: str, base_url: str = "",
                           skip_health: bool = True) -> DataFrame:
     kept = A.require_document_id(A.drop_health_checks(events, skip_health))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planewatch import constants as K
 from planewatch import schemas as S
+from planewatch.sources.tail import tail_lines
 
 
 def is_blank(raw: Column) -> Column:
@@ -22,8 +23,11 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return _with_place(spark.read.option("lineSep", "\n").text(path))
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same as a stream. Spark's checkpoint remembers which files were read."""
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, growing: bool = False) -> DataFrame:
+    """The same as a stream. Spark's checkpoint remembers which files were read or, in an archive
+    whose files are still appended to, up to where."""
+    if growing:
+        return tail_lines(spark, path)
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -53,16 +57,21 @@ def scan_archive(spark: SparkSession, path: str) -> DataFrame:
     return number_lines(scan_lines(spark, path)).filter(~is_blank(F.col("raw")))
 
 
-def scan_archive_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def scan_lines_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A missing archive is skipped, not an error."""
     try:
-        return scan_archive(spark, path)
+        return scan_lines(spark, path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def scan_archive_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    lines = scan_lines_or_none(spark, path)
+    return None if lines is None else number_lines(lines).filter(~is_blank(F.col("raw")))
+
+
 # ----------------------------------------------------------------- rejecting
 
 def excerpt(raw: Column, limit: int = K.EXCERPT_BYTES) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from planewatch import constants as K
 from planewatch import schemas as S
@@ -17,9 +19,9 @@ from planewatch.sources import archive as A
 WATERMARK = f"{K.OVERLAP} seconds"
 
 
-def stream_events(spark: SparkSession, path: str, dataset: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_events(spark: SparkSession, path: str, dataset: str, files_per_batch: int | None = None, growing: bool = False) -> DataFrame:
     """Flat events as they arrive. A stream cannot number its rows; the place is file and block."""
-    lines = A.stream_lines(spark, path, files_per_batch).select(
+    lines = A.stream_lines(spark, path, files_per_batch, growing).select(
         "raw", F.struct("at", "file", "block", F.lit(None).cast("bigint").alias("row")).alias("ingest_seq")
     )
     return A.require_document_id(A.drop_health_checks(derive.events_from_lines(lines, dataset)))
@@ -43,16 +45,26 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return placed.withWatermark("event_ts", WATERMARK).dropDuplicatesWithinWatermark(["document_id"])
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process what is there, then stop; returns what has been written."""
-    (
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, on_dropped: Callable[[int], None] | None = None) -> DataFrame:
+    """Process what is there, then stop; returns what has been written. ``on_dropped`` is told how many rows
+    came after the watermark had passed them, which no window or join of the stream has seen."""
+    query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start().awaitTermination()
+        .trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    if on_dropped:
+        on_dropped(dropped_rows(query))
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators refused as too late, over the batches that Spark still
+    reports (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in json.loads(p.json if isinstance(p.json, str) else p.json())["stateOperators"])
+
+
 # ----------------------------------------------------------- idempotent sink
 
 def _stored_schema(dataset: str) -> T.StructType:
@@ -65,7 +77,7 @@ def _stored_schema(dataset: str) -> T.StructType:
 
 def write_batches(spark: SparkSession, path: str, dataset: str, table: str, checkpoint: str,
                   files_per_batch: int | None = None,
-                  on_batch: Callable[[int, dict[str, int]], None] | None = None) -> None:
+                  on_batch: Callable[[int, dict[str, int]], None] | None = None, growing: bool = False) -> None:
     """Every micro-batch goes to a folder of its own, named by its number and overwritten if the
     batch is run again after a failure. At-least-once delivery plus a repeatable write is what
     makes the table exact; nothing already stored is rewritten.
@@ -95,7 +107,7 @@ def write_batches(spark: SparkSession, path: str, dataset: str, table: str, chec
             on_batch(batch_id, counters.get)
 
     (
-        A.stream_lines(spark, path, files_per_batch).writeStream.foreachBatch(write)
+        A.stream_lines(spark, path, files_per_batch, growing).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     )
 
