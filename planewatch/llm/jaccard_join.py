@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -280,6 +281,13 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(node[some]), pa.array(part[some])], ["cluster", "node", "part"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as small as they get, for the way to other tasks."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for rows, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "text"])
+
+
 def _links(words: int):
     """Edges of a forest over the true links inside each group, without comparing what is connected already."""
 
@@ -289,7 +297,7 @@ def _links(words: int):
             if group.num_rows < 2:
                 continue
             node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
-            sets, starts = shingle_sets(hashes, group.column("text").to_pylist(), words)
+            sets, starts = shingle_sets(hashes, [zstandard.decompress(t) for t in group.column("text").to_pylist()], words)
             size = np.diff(starts)
             token = np.unique(sets, return_inverse=True)[1].reshape(-1)
             held = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
@@ -366,10 +374,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, block: int = BLOCK)
     # Rows of one id with different texts are one document.
     several = able.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes"))
     several = several.where("a < b").select("a", F.explode("nodes").alias("b")).where("a < b")
-    read = texts.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    read = texts.where("doc_id is not null").mapInArrow(_packed, "node long, text binary")
     bare = members.select("node", "size", "bitmap", "wide")
     first = posts.groupBy("node").agg(F.min_by("tree", "place").alias("tree"))
-    links = stored(_round(first, bare.withColumn("part", F.col("node")), read, words, block, False, "first").unionByName(several), "first-links")
+    links = stored(_round(first, bare.withColumn("part", F.col("node")), read.hint("merge"), words, block, False, "first").unionByName(several), "first-links")
     found = stored(components(links, "first"), "first-components")
     named = stored(posts.join(found, "node", "left").select("tree", "node", F.coalesce("component", "node").alias("part")), "named")
     mixed = named.groupBy("tree").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("tree")
