@@ -14,9 +14,11 @@ them. A block is a run of consecutive windows with one anchor.
    exactly, by a 128-bit hash of all their words. A block found in a smaller doc_id is removed as a whole.
 3. Where an anchor has blocks of different words, the windows of those blocks are grouped exactly too,
    each block speaking once, through its smallest document. Which of its windows also start in a
-   smaller doc_id is all that step 2 has left open. The tasks find those blocks by a bitmap with eight bits
-   for each of them or, where that would be larger than ``2 ** MOST_WIDTH`` bits, by a join.
-4. Spans of removed words meet the texts by doc_id and a hash of the text.
+   smaller doc_id is all that step 2 has left open. The tasks find those blocks by a bitmap with 128 bits
+   for each of them, fewer where that would be more than ``2 ** MOST_WIDTH``, and by a join where it would be
+   fewer than eight.
+4. Spans of removed words meet the texts by doc_id and ``row``, which tells the texts of an id with several
+   apart: 0, or a hash of the text.
 
 Defined cases: a null text has no words; a null doc_id neither removes nor loses words; of rows that repeat a
 doc_id each loses its own repeated words (none because of the other, whose doc_id is not smaller); a
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from planewatch.llm.words import Powers, WordHashes, id_and_text, mix, slices, stored, table
 
 WINDOW, GRAM, ROWS = 50, 10, 2
-MOST_WIDTH, BLOCK_BYTES, CELLS_PER_BLOCK = 28, 256, 8
+MOST_WIDTH, BLOCK_BYTES, CELLS_PER_BLOCK, BITS_PER_OPEN, LEAST_PER_OPEN = 28, 256, 8, 128, 8
 PIECE = 1 << 15  # cells of one stored piece of the sketch
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -173,8 +175,8 @@ def _windows_of(windows: _Windows, rows: pa.RecordBatch, doc: np.ndarray, at: np
     w1, w2 = windows.digests(start, start + WINDOW)
     begin = start - windows.offset[doc]
     return pa.RecordBatch.from_arrays(
-        [rows.column("doc_id").take(pa.array(doc)), rows.column("row").take(pa.array(doc)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(begin), pa.array(begin + WINDOW)],
-        ["doc_id", "row", "h1", "h2", "start", "stop"],
+        [rows.column("doc_id").take(pa.array(doc)), rows.column("row").take(pa.array(doc)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(begin)],
+        ["doc_id", "row", "h1", "h2", "start"],
     )
 
 
@@ -221,11 +223,11 @@ def _marked(opened: DataFrame, width: int) -> np.ndarray:
     return np.packbits(np.unpackbits(bits.reshape(-1), bitorder="little"))
 
 
-def repeated_spans(docs: DataFrame, most_width: int = MOST_WIDTH) -> DataFrame:
-    """doc_id, row, start, stop: runs of words (numbered from 0, stop excluded) to remove; they may overlap.
-    ``row`` is a hash of the text, which tells different texts of one doc_id apart."""
-    spark = docs.sparkSession
-    texts = with_row(docs).where("doc_id is not null")
+def repeated_spans(texts: DataFrame, most_width: int = MOST_WIDTH) -> DataFrame:
+    """doc_id, row, start, stop from texts ``with_row``: runs of words (numbered from 0, stop excluded) to
+    remove; they may overlap."""
+    spark = texts.sparkSession
+    texts = texts.where("doc_id is not null").select("doc_id", "text", "row")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = sketch_width(size // BLOCK_BYTES + 1, most=most_width)
     sketch = spark.sparkContext.broadcast(repeated_anchors(texts, width))
@@ -237,9 +239,9 @@ def repeated_spans(docs: DataFrame, most_width: int = MOST_WIDTH) -> DataFrame:
     several = block.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     opened = stored(block.join(several.select("anchor"), "anchor", "left_semi"), "open-blocks")
     count = opened.count()
-    schema = "doc_id long, row long, h1 long, h2 long, start long, stop long"
-    if count * CELLS_PER_BLOCK <= 1 << most_width:
-        open_width = sketch_width(count + 1, most=most_width)
+    schema = "doc_id long, row long, h1 long, h2 long, start long"
+    if count * LEAST_PER_OPEN <= 1 << most_width:
+        open_width = sketch_width(count + 1, BITS_PER_OPEN, most_width)
         single = texts.mapInArrow(_open_windows(spark.sparkContext.broadcast(_marked(opened, open_width)), open_width), schema)
     else:
         speaking = found.join(opened, ["anchor", "h1", "h2"]).where("first = doc_id")
@@ -248,13 +250,18 @@ def repeated_spans(docs: DataFrame, most_width: int = MOST_WIDTH) -> DataFrame:
         single = texts.dropDuplicates(["doc_id", "row"]).join(lists, ["doc_id", "row"]).mapInArrow(_listed_windows, schema)
     single = stored(single, "windows")
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    parts = single.join(earliest, ["h1", "h2"]).where("first < doc_id").select("doc_id", "row", "start", "stop")
-    return whole.unionByName(parts)
+    parts = single.join(earliest, ["h1", "h2"]).where("first < doc_id")
+    return whole.unionByName(parts.select("doc_id", "row", "start", (F.col("start") + WINDOW).alias("stop")))
 
 
 def with_row(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text as bytes, row."""
-    return id_and_text(docs, *more).withColumn("row", F.xxhash64("text"))
+    rows, h = id_and_text(docs, *more), F.xxhash64("text")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a < b")
+    several = stored(several.select("doc_id", F.lit(True).alias("substring_several")), "several-texts")
+    if several.isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    return rows.join(several, "doc_id", "left").withColumn("row", F.when(F.col("substring_several"), h).otherwise(F.lit(0).cast("long"))).drop("substring_several")
 
 
 def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -301,8 +308,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), most_width: int = MOST_WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and left_text (the text without the removed words), one row
     per row of ``docs``; columns named in ``carry`` are passed on."""
-    spans = repeated_spans(docs, most_width).groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = with_row(docs, *carry).join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "stops", *carry)
+    texts = with_row(docs, *carry)
+    spans = repeated_spans(texts, most_width).groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    joined = texts.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "stops", *carry)
     more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     out = joined.mapInArrow(_remove, f"doc_id long, {more}n_words long, n_removed long, kept_sha256 string, left_text binary")
     return out.withColumn("left_text", F.col("left_text").cast("string"))

@@ -141,7 +141,7 @@ def test_substrings_odd_rows(odd, empty, spark):
 def test_substrings_of_two_texts_under_one_id(spark, open_bits, monkeypatch):
     """Spans of one text must not cut another one of the same id, shorter or longer; blocks come by bitmap or by join."""
     if open_bits == 15:
-        monkeypatch.setattr(substring_dedup, "CELLS_PER_BLOCK", 1 << 15)  # no bitmap is large enough
+        monkeypatch.setattr(substring_dedup, "LEAST_PER_OPEN", 1 << 16)  # no bitmap is large enough
     clean = [passage(55, 9000), passage(300, 20_000)]
     rows = [(1, passage(80)), (2, "head " + passage(120) + " tail"), (2, clean[0]), (2, clean[1]), (2, clean[1]), (3, passage(70, 20_100)), (3, clean[0] + " more"), (4, passage(100, 40))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
