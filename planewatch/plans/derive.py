@@ -83,8 +83,7 @@ class BackfillRun:
     def documents(self, dataset: str, skip_health: bool = True) -> DataFrame:
         kinds = (EVENT,) if skip_health else (EVENT, HEALTH)
         found = A.require_document_id(self.rows(dataset, *kinds)).drop("kind", "reason", "excerpt")
-        latest = upsert_latest(found, keys=("document_id",))
-        return content_documents(latest, self.base_url) if dataset == K.CONTENT else gateway_documents(latest)
+        return documents_of(upsert_latest(found, keys=("document_id",)), dataset, self.base_url)
 
     def all_documents(self, skip_health: bool = True) -> DataFrame:
         parts = {d: self.documents(d, skip_health) for d in self.schemas}
@@ -122,6 +121,11 @@ def latest_events(lines: DataFrame, dataset: str, skip_health: bool = True,
     return upsert_latest(bound(kept) if bound else kept, keys=("document_id",))
 
 
+def documents_of(latest: DataFrame, dataset: str, base_url: str = "") -> DataFrame:
+    """Documents of events that are fit to be stored."""
+    return content_documents(latest, base_url) if dataset == K.CONTENT else gateway_documents(latest)
+
+
 def backfill(spark: SparkSession, archives: dict[str, str], base_url: str = "",
              skip_health: bool = True) -> DataFrame:
     """Every document again from the archives, each dataset on its own; a missing one is skipped."""
@@ -129,8 +133,7 @@ def backfill(spark: SparkSession, archives: dict[str, str], base_url: str = "",
     for dataset, path in archives.items():
         lines = A.scan_archive_or_none(spark, path)
         if lines is not None:
-            latest = latest_events(lines, dataset, skip_health)
-            derived[dataset] = content_documents(latest, base_url) if dataset == K.CONTENT else gateway_documents(latest)
+            derived[dataset] = documents_of(latest_events(lines, dataset, skip_health), dataset, base_url)
     if not derived:
         raise ValueError(f"no archive found: {archives}")
     if len(derived) == 2:
