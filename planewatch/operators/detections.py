@@ -112,9 +112,16 @@ def short_output_rate(docs: DataFrame, limit: int = K.SHORT_OUTPUT_BYTES) -> Dat
     )
 
 
+def _total(tokens: Column) -> Column:
+    """A sum that cannot overflow: beyond what a field holds it stays at the largest number, so that absurd
+    counts raise an alert and do not hide their user from it."""
+    most = F.lit(2**63 - 1).cast("decimal(38,0)")
+    return F.least(F.sum(tokens.cast("decimal(21,0)")).cast("decimal(38,0)"), most).cast("bigint")
+
+
 def token_sum_user(docs: DataFrame) -> DataFrame:
     return content_only(docs).filter(user_id().isNotNull()).groupBy(user_id().alias("user_id")).agg(
-        F.try_sum(input_tokens()).alias("input_tokens"), F.try_sum(output_tokens()).alias("output_tokens")
+        _total(input_tokens()).alias("input_tokens"), _total(output_tokens()).alias("output_tokens")
     )
 
 
@@ -129,7 +136,7 @@ def token_spike(docs: DataFrame, factor: float = K.SPIKE_FACTOR, history: int =
         content_only(docs)
         .filter(user_id().isNotNull() & input_tokens().isNotNull() & output_tokens().isNotNull() & event_start().isNotNull())
         .groupBy(user_id().alias("user_id"), hour_of(event_start()).alias("hour"))
-        .agg(F.try_sum(F.try_add(input_tokens(), output_tokens())).alias("tokens"))
+        .agg(_total(input_tokens().cast("decimal(20,0)") + output_tokens()).alias("tokens"))
     )
     before = (
         Window.partitionBy("user_id").orderBy(F.unix_seconds("hour")).rangeBetween(-history, -1)

@@ -63,13 +63,17 @@ class BackfillRun:
     lines only, and the counters read no text at all. A missing archive is skipped.
     """
 
-    def __init__(self, spark: SparkSession, archives: dict[str, str], out: str, base_url: str = "") -> None:
+    def __init__(self, spark: SparkSession, archives: dict[str, str | DataFrame], out: str, base_url: str = "") -> None:
+        """``archives``: where each archive is, or its numbered lines."""
         self.spark, self.out, self.base_url = spark, out, base_url
         self.schemas: dict[str, T.StructType] = {}
-        for dataset, path in archives.items():
-            lines = A.scan_lines_or_none(spark, path)
+        for dataset, given in archives.items():
+            lines = given
+            if isinstance(given, str):
+                found = A.scan_lines_or_none(spark, given)
+                lines = None if found is None else A.number_lines(found)
             if lines is not None:
-                rows = classified(A.number_lines(lines), dataset)
+                rows = classified(lines, dataset)
                 rows.write.partitionBy("kind").parquet(f"{out}/dataset={dataset}")
                 fields = [f for f in rows.schema.fields if f.name != "kind"]
                 self.schemas[dataset] = T.StructType([*fields, T.StructField("kind", T.StringType())])

@@ -132,9 +132,15 @@ def _decoded(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     return derive.decode(lines(spark, sf_dir, dataset).filter(~A.is_blank(F.col("raw"))), dataset)
 
 
+@lru_cache(maxsize=32)
+def passed(spark: SparkSession, sf_dir: str) -> derive.BackfillRun:
+    """One pass over the lines of both datasets, written by what each line is, on first use."""
+    return derive.BackfillRun(spark, {d: lines(spark, sf_dir, d) for d in (K.CONTENT, K.GATEWAY)}, scratch_dir(spark, "passed"))
+
+
 @query("quarantine")
 def quarantine(spark, sf_dir):
-    return _both(lambda d: A.bad_lines(_decoded(spark, sf_dir, d), d)).select(
+    return _both(passed(spark, sf_dir).quarantine).select(
         "dataset", F.col("ingest_seq.row").alias("ingest_row"), "reason",
         F.octet_length("excerpt").cast("bigint").alias("excerpt_bytes"),
     )
@@ -175,7 +181,7 @@ def initial_bound(spark, sf_dir):
 @query("backfill")
 def backfill(spark, sf_dir):
     archives = {d: _archived(spark, sf_dir, d) for d in (K.CONTENT, K.GATEWAY)}
-    return derive.backfill(spark, archives).select(
+    return derive.BackfillRun(spark, archives, scratch_dir(spark, "backfill")).all_documents().select(
         "dataset", "document_id", F.col("event.start").alias("event_start"),
         F.col("event.outcome").alias("outcome"), F.col("event.duration").alias("duration_ns"),
     )
@@ -206,12 +212,7 @@ def load_baseline(spark, sf_dir):
 
 @query("ingest_counters")
 def ingest_counters(spark, sf_dir):
-    def counters(d: str) -> DataFrame:
-        decoded = derive.decode(lines(spark, sf_dir, d), d)
-        used = decoded.filter(~A.is_blank(F.col("raw")))
-        return A.ingest_counters(decoded, derive.events_from_decoded(used, d), d)
-
-    return _both(counters)
+    return _both(passed(spark, sf_dir).counters)
 
 
 # ------------------------------------------------------------ B: content records
@@ -552,8 +553,20 @@ def scorecard(spark, sf_dir):
 
 # ----------------------------------------------------------------- I: streaming
 
-def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: str) -> None:
-    """Streams read rolled files in the order of time, one per micro-batch."""
+@query("incremental_ingest")
+def incremental_ingest(spark, sf_dir):
+    """The archive grows while it is read: half of it is there at the first run, all of it at the second,
+    which goes on from the checkpoint of the first."""
+    path, folder = scratch_dir(spark, "growing"), scratch_dir(spark, "ledger")
+    planes.write_rolled(
+        lines(spark, sf_dir, K.GATEWAY), path, scratch_dir(spark, "lines"),
+        after=lambda k: runs.take_new_records(spark, path, folder) if k in (2, 5) else None,
+    )
+    return runs.taken_records(spark, folder)
+
+
+def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: str, files: int = 1) -> None:
+    """Streams read rolled files in the order of time, so many per micro-batch."""
     @query(name)
     def run(spark, sf_dir):
         archives = {}
@@ -561,11 +574,10 @@ def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: st
             archives[d] = scratch_dir(spark, f"rolled-{d}")
             planes.write_rolled(lines(spark, sf_dir, d), archives[d], scratch_dir(spark, f"lines-{d}"))
             runs.append_closing_record(spark, archives[d], d)
-        return run_stream(spark, archives, files_per_batch=1)
+        return run_stream(spark, archives, files_per_batch=files)
 
 
-_stream_query("incremental_ingest", runs.incremental_ingest, K.GATEWAY)
-_stream_query("stream_upsert_sink", runs.upsert_sink, K.CONTENT, K.GATEWAY)
+_stream_query("stream_upsert_sink", runs.upsert_sink, K.CONTENT, K.GATEWAY, files=3)
 _stream_query("stream_hourly_blocks", runs.hourly_blocks, K.GATEWAY)
 _stream_query("stream_hourly_auth", runs.hourly_auth, K.GATEWAY)
 _stream_query("stream_enforcement_type", runs.hourly_enforcement, K.GATEWAY)

@@ -10,6 +10,7 @@ The result is text, exactly what an archive would hold; the parsers see nothing
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -420,10 +421,11 @@ def write_archive(lines: DataFrame, path: str) -> None:
     lines.select(F.col("raw").alias("value")).write.text(path, lineSep="\n")
 
 
-def write_rolled(lines: DataFrame, path: str, staging: str, files: int = 6) -> None:
+def write_rolled(lines: DataFrame, path: str, staging: str, files: int = 6, after: Callable[[int], None] | None = None) -> None:
     """The archive as a collector that rolls its file leaves it: files in the order of time, later
     ones modified later. A line arrives up to four minutes after its time, so lines of neighbouring
-    files overlap; one without a readable time goes to the first file. ``staging`` is a new folder."""
+    files overlap; one without a readable time goes to the first file. ``staging`` is a new folder; ``after`` is
+    called when a file is there, with its number."""
     written = F.regexp_extract("raw", r'"(?:timestamp|startTime)"\s*:\s*"([^"Z+]*)', 1).try_cast("timestamp")
     # Versions of one record stay in their order: the same delay, and the given order inside a file.
     record = F.regexp_extract("raw", r'"(?:id|request_id)"\s*:\s*"([^"]*)"', 1)
@@ -437,6 +439,8 @@ def write_rolled(lines: DataFrame, path: str, staging: str, files: int = 6) -> N
     for k in range(files):
         rolled = staged.where(F.col("slot") == k).coalesce(1).sortWithinPartitions("arrival", "row")
         rolled.select(F.col("raw").alias("value")).write.mode("append").text(path, lineSep="\n")
+        if after:
+            after(k)
 
 
 __all__ = ["baseline", "content_lines", "gateway_lines", "requests", "write_archive", "write_rolled"]

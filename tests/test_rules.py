@@ -107,6 +107,16 @@ def test_token_spike_looks_at_the_week_before(spark):
     assert rows(R.token_spike(docs), "user_id", "hour", "tokens", "usual_tokens") == [("u", at(3 * day + hour), 101, 20.0)]
 
 
+def test_absurd_token_counts_do_not_hide_their_user(spark):
+    hour, most = 3600, 2**63 - 1
+    docs = documents(
+        spark, content_doc("base", start=0, tokens=(5, 5)), content_doc("x", start=hour, tokens=(most, most)), content_doc("y", start=hour + 1, tokens=(most, 1)),
+        content_doc("spike", start=hour + 2, tokens=(60, 41)),
+    )
+    assert rows(R.token_sum_user(docs)) == [("u", most, most)]
+    assert rows(R.token_spike(docs), "user_id", "hour", "tokens", "usual_tokens") == [("u", at(hour), most, 10.0)]
+
+
 def test_routing_counts_an_absent_model(spark):
     docs = documents(
         spark, gateway_doc("ok"), gateway_doc("odd", model="groq/z"), gateway_doc("none", model=None),
