@@ -49,15 +49,22 @@ def correlate(docs: DataFrame) -> DataFrame:
 
 
 def correlation_window(docs: DataFrame, seconds: int = K.CORRELATION_WINDOW) -> DataFrame:
-    """Matches whose starts lie within the window. The id is the join key and the time only a
-    further condition, so this stays an equality join."""
+    """Matches whose starts lie within the window.
+
+    A band join: rows meet by id and bin of time, as wide as the window. A request stands in its own bin and in the
+    two beside it, an attempt in its own only, so each pair meets once and is then held to the exact window. An
+    id that very many records share (a constant one, say) pairs what happened at about the same time, and no
+    longer all its requests with all its attempts.
+    """
     content, gateway = _sides(docs)
-    skew = F.abs(F.unix_micros("gateway_start") - F.unix_micros("content_start"))
-    return (
-        gateway.filter("trace_id IS NOT NULL").join(content, "trace_id")
-        .withColumn("skew_us", skew)
-        .filter(F.col("skew_us") <= seconds * 1000000)
-    )
+    start, width = {"c": F.unix_micros("content_start"), "g": F.unix_micros("gateway_start")}, seconds * 1_000_000
+    skew = F.abs(start["g"] - start["c"])
+    if width == 0:
+        return gateway.filter("trace_id IS NOT NULL").join(content, "trace_id").withColumn("skew_us", skew).filter("skew_us = 0")
+    own = F.floor(start["c"] / width)
+    requests = content.withColumn("_bin", F.explode(F.sequence(own - 1, own + 1)))
+    attempts = gateway.filter("trace_id IS NOT NULL").withColumn("_bin", F.floor(start["g"] / width))
+    return attempts.join(requests, ["trace_id", "_bin"]).drop("_bin").withColumn("skew_us", skew).filter(F.col("skew_us") <= width)
 
 
 def resolve_request(docs: DataFrame) -> DataFrame:

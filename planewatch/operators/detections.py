@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planewatch import constants as K
+from planewatch.operators.sequences import in_order
 
 
 def trace_id() -> Column:
@@ -211,47 +212,22 @@ def attempt_then_block(docs: DataFrame, span: int = K.SEQUENCE_SPAN,
     """A gateway failure after an injection-shaped prompt of the same user, at most ``span``
     seconds earlier; each failure is paired with the latest such prompt.
 
-    No self-join, so no blow-up of attempts times failures: prompts and failures go through one
-    ordered window. The window is partitioned by user and slice of time, not by user, so that one
-    very active user is spread over many tasks. A slice only needs to know the latest prompt of
-    the slices before it, and that one row per user and slice is carried over.
+    A sequence of two steps (see ``sequences.in_order``): no self-join, and a busy user is spread over tasks.
     """
-    slices = 3
-    width = -(-span // slices)
-    micros = F.unix_micros(event_start())
     base = docs.filter(user_id().isNotNull() & event_start().isNotNull())
+    at = F.unix_micros(event_start()).alias("at")
     attempts = content_only(base).filter(mentions_in_order(F.col("llm.user_prompt"), words)).select(
-        user_id().alias("user_id"), micros.alias("at"), F.lit(1).alias("kind"),
-        F.struct(micros.alias("at"), trace_id().alias("trace_id")).alias("attempt"),
-        F.lit(None).cast("string").alias("request_id"),
-        F.lit(None).cast("string").alias("trace_id"),
+        user_id().alias("user_id"), at, F.struct(F.lit(None).cast("string").alias("request_id"), trace_id().alias("trace_id")).alias("id")
     )
     failures = gateway_only(base).filter(F.col("event.outcome") == K.FAILURE).select(
-        user_id().alias("user_id"), micros.alias("at"), F.lit(0).alias("kind"),
-        F.lit(None).cast("struct<at:bigint,trace_id:string>").alias("attempt"),
-        F.col("document_id").alias("request_id"), trace_id().alias("trace_id"),
-    )
-    piece = F.expr(f"at div {width * 1000000}")
-    attempts, failures = attempts.withColumn("piece", piece), failures.withColumn("piece", piece)
-    last_of_piece = attempts.groupBy("user_id", "piece").agg(F.max("attempt").alias("attempt"))
-    carried = last_of_piece.select(
-        "user_id", F.col("attempt.at").alias("at"), F.lit(1).alias("kind"), "attempt",
-        F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("string").alias("trace_id"),
-        F.explode(F.sequence(F.col("piece") + 1, F.col("piece") + slices)).alias("piece"),
-    )
-    # At the same instant the failure sorts first: an attempt must be strictly earlier.
-    so_far = Window.partitionBy("user_id", "piece").orderBy("at", "kind", "attempt").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        user_id().alias("user_id"), at, F.struct(F.col("document_id").alias("request_id"), trace_id().alias("trace_id")).alias("id")
     )
-    timeline = attempts.unionByName(failures).unionByName(carried)
-    paired = timeline.withColumn("latest", F.last("attempt", ignorenulls=True).over(so_far))
-    return paired.filter(
-        (F.col("kind") == 0) & (F.col("latest.at") >= F.col("at") - span * 1000000)
-    ).select(
-        "user_id", "request_id", "trace_id",
+    attempt, failure = F.col("chain")[0], F.col("chain")[1]
+    return in_order([attempts, failures], span).select(
+        "user_id", failure["id"]["request_id"].alias("request_id"), failure["id"]["trace_id"].alias("trace_id"),
         F.timestamp_micros("at").alias("failed_at"),
-        F.col("latest.trace_id").alias("attempt_trace_id"),
-        F.timestamp_micros("latest.at").alias("attempted_at"),
+        attempt["id"]["trace_id"].alias("attempt_trace_id"),
+        F.timestamp_micros(attempt["at"]).alias("attempted_at"),
     )
 
 

@@ -3,6 +3,7 @@ them one user, trace id or prompt holds far more than a third of all rows."""
 
 import datetime as dt
 import itertools
+import random
 
 
 import pytest
@@ -15,6 +16,7 @@ from planewatch.operators import detections as R
 from planewatch.operators import health as H
 from planewatch.operators import quality as Q
 from planewatch.operators.scorecard import detection_scorecard
+from planewatch.operators.sequences import in_order
 from planewatch.sources import archive as A
 
 T0 = dt.datetime(2024, 5, 1, 10)
@@ -367,3 +369,30 @@ def test_stored_documents_are_pruned_and_pushed_down(spark, tmp_path):
     assert "dataset#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "event_date#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "user_prompt" not in scan.split("ReadSchema")[1]
+
+
+def test_sequences_of_three_steps(spark):
+    """Against all triples: ties in time, chains over slice edges, spans just kept and just missed, users apart."""
+    draw, span = random.Random(3), 90
+    steps = [sorted({(draw.choice("uvw"), draw.randrange(0, 2000) * 1_000_000, f"{k}-{n}") for n in range(60)}) for k in range(3)]
+    steps[1] += [("u", steps[0][0][1], "same instant")]
+    tables = [spark.createDataFrame(s + [(None, 5, "x"), ("u", None, "y")], "user_id string, at long, id string") for s in steps]
+    want = {}
+    for a in steps[0]:
+        for b in steps[1]:
+            for c in steps[2]:
+                if a[0] == b[0] == c[0] and a[1] < b[1] < c[1] <= a[1] + span * 1_000_000:
+                    want[c] = max(want.get(c, []), [a[1:], b[1:]])
+    got = {(r.user_id, r.at, r.chain[-1].id): [tuple(x) for x in r.chain[:2]] for r in in_order(tables, span).collect()}
+    assert got == want and len(got) > 5
+
+
+def test_a_constant_trace_id_pairs_only_its_neighbours(spark):
+    minutes = 60
+    docs = documents(
+        spark, *[content_doc("same", start=30 * minutes * n) for n in range(20)], *[gateway_doc(f"r{n}", trace="same", start=30 * minutes * n + 2) for n in range(20)],
+        content_doc("edge", start=0), gateway_doc("in", trace="edge", start=5 * minutes), gateway_doc("out", trace="edge", start=5 * minutes + 1),
+    )
+    found = G.correlation_window(docs)
+    assert sorted(r.request_id for r in found.collect()) == sorted([*[f"r{n}" for n in range(20)], "in"])
+    assert "_bin" in found._jdf.queryExecution().optimizedPlan().toString()
