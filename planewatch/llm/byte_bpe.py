@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from planewatch.llm.words import Powers, id_and_text, mix, slices, table
 
-KEPT = 600_000
+KEPT = 400_000
 DECODED = 2  # tokens of one decoded stretch at most; short ones recur most
 MOST_TOKENS = 1 << 20
 # White space of the pattern beyond ASCII, in UTF-8; texts with it are cut by the pattern itself.
