@@ -125,7 +125,7 @@ def test_pipeline(spark, sf_dir, odd, empty):
         after = [(r.doc_id, r.text) for r in docs.collect()]
         assert docs.columns == columns and {i for i, _ in after} <= set(before)
         if name == "near_dedup":
-            sets = [shingles(t, 5) for _, t in after]
+            sets = [shingles(t, 2) for _, t in after]
             assert not any(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
         if name == "substring_dedup":
             own = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, t in after for w in [words(t)]}
