@@ -24,7 +24,8 @@ the tasks; there may be ``most_sources`` of them, which is checked.
 
 Defined cases: a null text has size 0; a null source is a source of its own; a source without words
 has target 0 and nothing is taken; rows that repeat a doc_id (or have none) are documents of their
-own, whose takes the query adds up by doc_id as one row per row; an empty table gives an empty mix;
+own, whose takes the query adds up by doc_id as one row per row; a very long text only has a large size;
+ties in order are broken by the hash of the row, and equal rows are told apart by a number; an empty table gives an empty mix;
 columns with clashing names are carried through under their own names by ``mix``.
 """
 

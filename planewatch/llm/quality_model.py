@@ -14,7 +14,8 @@
 Defined cases: a null or empty text has the zero vector and the score of that; a null doc_id is scored,
 held_out null becomes false and it is never trained on; labels that are null are left out, of several
 labels for one id the smallest counts; without usable labels of both kinds every score is the share
-of label 1 (0.5 without labels); an empty table gives an empty result; other columns play no part.
+of label 1 (0.5 without labels); a very long text is pooled as a whole, in memory that grows with its words;
+equal texts have equal scores; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations

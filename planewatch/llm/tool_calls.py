@@ -13,7 +13,7 @@ counts (and of one turn the smallest content); ``no_result``; ``no_call``: a res
 for, level null; ``unknown_after``: it names no call of the conversation, and counts as needing none;
 ``cycle``: it cannot be ordered, level null; ``unknown_tool``; ``not_json``: arguments that are no JSON
 object; ``missing:f``, ``type:f``, ``extra:f`` by field. Rows without conv_id or call_id cannot be
-linked and are left out; null arguments are not JSON; an empty table gives an empty result; other
+linked and are left out; null arguments are not JSON; very long arguments and results are kept whole; an empty table gives an empty result; other
 columns play no part.
 """
 

@@ -11,6 +11,7 @@ the parts are applied one after the other, so that no task ever holds more than
 
 Only DataFrame functions are used. Defined cases: a null url or one without ``://`` has an empty host
 and path, fits no rule and is tested as the key ''; null or repeated page_ids are judged row by row;
+a very long url is a key like any other; of rules that fit equally long ones cannot differ;
 null keys of the list are ignored, keys that no page has change nothing; an empty list allows all; an
 empty table gives an empty result; columns other than page_id and url play no part.
 """
