@@ -14,7 +14,7 @@ between. On notices of one line each this gives what the sequence gives (``SQL``
 
 All of it happens in the row, without a shuffle. Defined cases: a null or empty text has no sentences;
 repeated rows and null doc_ids are scanned one by one; a very long text is scanned whole, in its row;
-of rules that match the same sentences the first listed counts; an empty table gives an empty result; columns
+of rules that match the same sentences the longest counts; an empty table gives an empty result; columns
 other than doc_id and text play no part.
 """
 
