@@ -66,26 +66,43 @@ def credential_scan(texts: DataFrame, key: str, text: str, allowed_hashes: list[
     return texts.select(F.col(key), F.explode(found).alias("f")).select(key, "f.kind", "f.token")
 
 
-def provider_coverage(observed: DataFrame, exceptions: list[str]) -> DataFrame:
-    """Providers without a decision (seen, but neither mapped nor listed as an exception), and
-    decisions without a provider (mapped or excepted, but never seen).
+def provider_coverage(observed: DataFrame, exceptions: list[str], known: DataFrame | None = None) -> DataFrame:
+    """Both differences between the providers there are and the decisions made about them.
 
-    ``observed`` has a column ``provider`` of any number of rows; it is cut to distinct names
-    before anything else happens. The decisions are configuration, a fixed table in the code.
+    Providers are those seen in the records, ``observed``, and those that the gateway's release lists, ``known``
+    (see ``archive.load_names``): one that no record has yet needs a decision before it has. Decisions are the
+    mapped names and the exceptions, configuration in the code. ``undecided`` is a seen provider without a decision,
+    ``undecided known`` one that is only listed; ``unseen ...`` is a decision about a provider that no record
+    has, and ``unlisted ...`` one that is missing from the list as well, so probably misspelt or gone.
+
+    Both columns ``provider`` may have any number of rows; they are cut to distinct names before anything else.
     """
     spark = observed.sparkSession
     decided = spark.createDataFrame(
         [(p, "mapped") for p in K.PROVIDER_SYSTEMS] + [(p, "exception") for p in exceptions],
         "provider string, decision string",
     )
-    seen = observed.select(F.lower(F.trim("provider")).alias("provider")).filter(
-        F.col("provider").isNotNull() & (F.col("provider") != "")
-    ).distinct()
+
+    def names(df: DataFrame) -> DataFrame:
+        return df.select(F.lower(F.trim("provider")).alias("provider")).filter(
+            F.col("provider").isNotNull() & (F.col("provider") != "")
+        ).distinct()
+
+    def about(rows: DataFrame, problem: str) -> DataFrame:
+        return rows.select("provider", F.concat(F.lit(problem), F.col("decision")).alias("problem"))
+
+    seen = names(observed)
     gaps = seen.join(decided, "provider", "left_anti").select("provider", F.lit("undecided").alias("problem"))
-    stale = decided.join(seen, "provider", "left_anti").select(
-        "provider", F.concat(F.lit("unseen "), F.col("decision")).alias("problem")
+    unseen = decided.join(seen, "provider", "left_anti")
+    if known is None:
+        return gaps.unionByName(about(unseen, "unseen "))
+    listed = names(known)
+    coming = listed.join(seen, "provider", "left_anti").join(decided, "provider", "left_anti")
+    return (
+        gaps.unionByName(coming.select("provider", F.lit("undecided known").alias("problem")))
+        .unionByName(about(unseen.join(listed, "provider", "left_semi"), "unseen "))
+        .unionByName(about(unseen.join(listed, "provider", "left_anti"), "unlisted "))
     )
-    return gaps.unionByName(stale)
 
 
 def unknown_provider_audit(docs: DataFrame) -> DataFrame:

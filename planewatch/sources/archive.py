@@ -189,3 +189,9 @@ def load_baseline(spark: SparkSession, path: str | None, one_document: bool = Tr
             return empty
         raise
     return found.select(F.explode("trace_ids").alias("trace_id")).distinct()
+
+
+def load_names(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """A list of names, one per line; blank lines and lines that begin with # are left out."""
+    names = spark.read.text(path).select(F.trim("value").alias(column))
+    return names.filter((F.col(column) != "") & ~F.col(column).startswith("#")).distinct()

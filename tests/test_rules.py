@@ -336,6 +336,16 @@ def test_merged_traces(spark):
     assert rows(Q.merged_traces(events)) == [("a", True, 0), ("b", False, 2)]
 
 
+def test_provider_coverage_with_a_list(spark, tmp_path):
+    (tmp_path / "list").write_text("# providers\n\n groq \nvoyage\nVoyage\nai21\nanthropic\n")
+    seen = spark.createDataFrame([("groq",), (" NEW ",), (None,), ("",)], "provider string")
+    known = A.load_names(spark, str(tmp_path / "list"), "provider")
+    got = dict(rows(Q.provider_coverage(seen, ["ai21", "gone"], known)))
+    assert {p: got[p] for p in ("new", "voyage", "ai21", "anthropic", "gone", "openai")} == {
+        "new": "undecided", "voyage": "undecided known", "ai21": "unseen exception", "anthropic": "unseen mapped", "gone": "unlisted exception", "openai": "unlisted mapped"}
+    assert "groq" not in got
+
+
 def test_provider_coverage(spark):
     seen = spark.createDataFrame([(p,) for p in [*K.PROVIDER_SYSTEMS, " Brand-New ", "ai21", None, ""] if p != "xai"], "provider string")
     assert rows(Q.provider_coverage(seen, ["ai21", "gone"])) == [
