@@ -396,7 +396,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     part = F.pmod(F.xxhash64("phrase"), F.lit(DEALT))  # a language's phrases are cut down in many tasks first
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return kept.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return kept.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,7 +428,7 @@ sub AS (
 ), kept AS (
   SELECT x.* FROM lowest x LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < {INSIDE} * a::HUGEINT
 )
-SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang)
 WHERE rank <= {TOP}
 """
