@@ -558,6 +558,15 @@ def scorecard(spark, sf_dir):
 
 # ----------------------------------------------------------------- I: streaming
 
+@lru_cache(maxsize=32)
+def rolled(spark: SparkSession, sf_dir: str, dataset: str) -> str:
+    """Path of the archive as rolled files, which all streams read; written on first use."""
+    path = scratch_dir(spark, f"rolled-{dataset}")
+    planes.write_rolled(lines(spark, sf_dir, dataset), path, scratch_dir(spark, f"lines-{dataset}"))
+    runs.append_closing_record(spark, path, dataset)
+    return path
+
+
 @query("incremental_ingest")
 def incremental_ingest(spark, sf_dir):
     """The archive grows while it is read: half of it is there at the first run, all of it at the second,
@@ -574,12 +583,7 @@ def _stream_query(name: str, run_stream: Callable[..., DataFrame], *datasets: st
     """Streams read rolled files in the order of time, so many per micro-batch."""
     @query(name)
     def run(spark, sf_dir):
-        archives = {}
-        for d in datasets:
-            archives[d] = scratch_dir(spark, f"rolled-{d}")
-            planes.write_rolled(lines(spark, sf_dir, d), archives[d], scratch_dir(spark, f"lines-{d}"))
-            runs.append_closing_record(spark, archives[d], d)
-        return run_stream(spark, archives, files_per_batch=files)
+        return run_stream(spark, {d: rolled(spark, sf_dir, d) for d in datasets}, files_per_batch=files)
 
 
 _stream_query("stream_upsert_sink", runs.upsert_sink, K.CONTENT, K.GATEWAY, files=3)
