@@ -92,7 +92,7 @@ def _count(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows()
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, most=2 << 20):
             windows.read(texts)
             for row in range(ROWS):
                 cells = np.sort(_cells(windows.anchor, row, width))
@@ -151,7 +151,7 @@ def _test(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 def _blocks(sketch, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, windows = sketch.value, _Windows()
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=2 << 20):
             windows.read(texts)
             if not len(windows.anchor):
                 continue
@@ -180,12 +180,18 @@ def _windows_of(windows: _Windows, rows: pa.RecordBatch, doc: np.ndarray, at: np
     )
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces that stay small on the way out."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _open_windows(sketch, width: int):
     """Windows of the blocks whose bit is set. A bit set by chance adds true windows of true documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, windows = sketch.value, _Windows()
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=2 << 20):
             windows.read(texts)
             if not len(windows.anchor):
                 continue
@@ -194,7 +200,7 @@ def _open_windows(sketch, width: int):
             seen = _test(bits, (h1.view(np.int64) ^ ids[windows.block_doc]) & ((1 << width) - 1))
             at, many = windows.block_at[seen], windows.block_stop[seen] - WINDOW + 1 - windows.block_at[seen]
             if len(at):
-                yield _windows_of(windows, rows, windows.block_doc[seen], at, many)
+                yield from _parts(_windows_of(windows, rows, windows.block_doc[seen], at, many))
 
     return run
 
@@ -202,14 +208,14 @@ def _open_windows(sketch, width: int):
 def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the blocks listed with each text."""
     windows = _Windows()
-    for rows, texts in slices(batches):
+    for rows, texts in slices(batches, most=2 << 20):
         windows.read(texts)
         if not len(windows.anchor):
             continue
         starts, stops = rows.column("starts"), rows.column("stops")
         doc = np.repeat(np.arange(len(texts)), np.array(pc.list_value_length(starts)))
         start, stop = starts.flatten().to_numpy(), stops.flatten().to_numpy()
-        yield _windows_of(windows, rows, doc, start + windows.offset[doc], stop - WINDOW + 1 - start)
+        yield from _parts(_windows_of(windows, rows, doc, start + windows.offset[doc], stop - WINDOW + 1 - start))
 
 
 def _marked(opened: DataFrame, width: int) -> np.ndarray:
@@ -286,7 +292,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the counts, the digest and the text that is left; other columns are passed on."""
-    for rows, texts in slices(batches):
+    for rows, texts in slices(batches, most=2 << 20):
         n_words, n_removed, digest, left = [], [], [], []
         for text, starts, stops in zip(texts, rows.column("starts").to_pylist(), rows.column("stops").to_pylist(), strict=True):
             words = text.split()
