@@ -30,6 +30,8 @@ SQL = {
     "op2_url_filters": url_filters.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
+    # The full sets of all pairs that share a shingle: what the trees must have found.
+    "op7_near_dedup": jaccard_join.component_sql(near_dedup.QUERY_WORDS, ", coalesce(m, doc_id) = doc_id AS kept"),
     "op8_tool_calls": tool_calls.SQL,
     "op9_licenses": licenses.SQL,
     "op11_collocations": collocations.SQL,
