@@ -1,6 +1,7 @@
 """Streams against the batch answers: files that arrive one by one, late rows, replays."""
 
 import datetime as dt
+import gzip
 import json
 import os
 
@@ -193,3 +194,20 @@ def test_rolled_files_are_in_the_order_of_time_and_whole(spark, tmp_path):
         assert dt.datetime.fromisoformat(max(a)) - dt.datetime.fromisoformat(min(b)) <= late
     both = [x for c in contents for x in c if '"a5"' in x]
     assert both == [raw[5], raw[40]]
+
+
+def test_a_large_rolled_file_becomes_several_in_the_order_of_time(spark, monkeypatch):
+    """No task holds a whole file; parts are published in order, none before the part of lines before it."""
+    raw = [json.dumps(attempt(f"a{n}", f"t{n}", 50 * n)) for n in range(400)] + ["broken"]
+    lines = A.number_lines(spark.createDataFrame([(r,) for r in raw], "raw string").selectExpr(
+        "raw", "current_timestamp() AS at", "'f' AS file", "0L AS block"))
+    monkeypatch.setattr(planes, "ROLLED_BYTES", sum(map(len, raw)) // 11)
+    path, seen = scratch_dir(spark, "rolled"), []
+    planes.write_rolled(lines, path, scratch_dir(spark, "staged"), files=3, after=lambda k: seen.append(len([f for f in os.listdir(path) if f.endswith(".gz")])), compression="gzip")
+    files = sorted((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".gz")), key=lambda f: os.stat(f).st_mtime_ns)
+    contents = [gzip.open(f, "rt").read().splitlines() for f in files]
+    assert len(files) == 12 == seen[-1] and seen[0] < seen[1] < 12 and planes.rolled_parts(spark, path, 3) == 4
+    assert sorted(sum(contents, [])) == sorted(raw) and max(map(len, contents)) < 100
+    starts = [[dt.datetime.fromisoformat(json.loads(x)["startTime"]) for x in c if x.startswith("{")] for c in contents]
+    for a, b in zip(starts, starts[1:], strict=False):
+        assert max(a) - min(b) <= dt.timedelta(minutes=4)
