@@ -43,10 +43,12 @@ from pyspark.sql import functions as F
 from planewatch.llm.components import components
 from planewatch.llm.near_dedup import _groups, _spread, shingle_sets
 from planewatch.llm.words import WordHashes, id_and_text, mix, slices, stored, table
+from planewatch.operators.upsert import marked
 
 WORDS, THRESHOLD = 5, 80  # per cent
 CELLS_LOG, PIECE = 18, 1 << 12
 CELLS = 1 << CELLS_LOG
+MARKS_LOG = 24  # bits of a table of marked ids, 2 MB
 BITS, FAN, BLOCK, PAIRS, ROWS = 1024, 8, 512, 1 << 19, 1 << 15
 SALTS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
@@ -342,8 +344,18 @@ def _dealt(posts: DataFrame, block: int, every: bool) -> DataFrame:
     return whole.unionByName(parts)
 
 
+def _gathered(groups: DataFrame, block: int) -> DataFrame:
+    """Groups that hold the same row, the one whose hash is the least in each of them, as one group if that has at most
+    ``block`` rows: alike texts are together in many trees, and each of them is then copied once and not for every tree."""
+    least = groups.groupBy("cluster").agg(F.min_by("node", F.xxhash64("node")).alias("anchor"))
+    rows = groups.join(least, "cluster")
+    few = rows.select("anchor", "node").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") <= block)
+    name = F.when(F.col("n").isNotNull(), F.xxhash64("anchor")).otherwise(F.col("cluster"))
+    return rows.join(few, "anchor", "left").select(name.alias("cluster"), "node", "part").distinct()
+
+
 def _round(posts: DataFrame, members: DataFrame, texts: DataFrame, words: int, block: int, every: bool, label: str) -> DataFrame:
-    """Links (a, b) found in the trees of ``posts`` (tree, node); members: node, size, bitmap, part."""
+    """Links (a, b) found in the trees of ``posts`` (tree, node); members: node, size, bitmap, wide, part; texts: doc_id, text."""
     rows = _dealt(posts, block, every).join(members, "node")
     rows = rows.select("tree", "node", "size", "part", "side", "bitmap").repartition("tree").sortWithinPartitions("tree", "size", "node")
     schema = "cluster long, node long, part long"
@@ -351,8 +363,11 @@ def _round(posts: DataFrame, members: DataFrame, texts: DataFrame, words: int, b
     # Once more with bitmaps as wide as the sets are large, which are too heavy to be in every tree.
     again = groups.select(F.col("cluster").alias("tree"), "node", "part", F.lit(0).alias("side")).join(members.select("node", "size", "bitmap", "wide"), "node")
     again = again.repartition("tree").sortWithinPartitions("tree", "size", "node").mapInArrow(_traverse, schema)
-    groups = stored(again.distinct(), f"{label}-groups")
-    met = groups.join(texts, "node").select("cluster", "node", "part", "text")
+    groups = stored(_gathered(stored(again.distinct(), f"{label}-tight-groups"), block), f"{label}-groups")
+    # Of the texts only those of some group are packed and leave their task, and by the same kind of join at any size.
+    wanted = marked(texts, groups.select(F.col("node").alias("doc_id")), ("doc_id",), MARKS_LOG).where("_again")
+    wanted = wanted.select("doc_id", "text").mapInArrow(_packed, "node long, text binary")
+    met = groups.join(wanted.hint("merge"), "node").select("cluster", "node", "part", "text")
     return met.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_links(words), "a long, b long")
 
 
@@ -365,19 +380,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, block: int = BLOCK)
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(passed))
     able = signed.where("doc_id is not null and digest is not null")
     classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    prefixed = texts.where("doc_id is not null").mapInArrow(_prefixes(counts, words), "doc_id long, digest binary, size long, bitmap binary, wide binary, first array<long>")
-    members = prefixed.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    members = stored(members.withColumnRenamed("doc_id", "node"), "members")
+    # An id with one row that stands for its class is a member as it is; only the rows of others are looked up.
+    twice = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    unsure = twice.unionByName(signed.where("digest is null").select("doc_id")).unionByName(able.join(classes, "digest").where("doc_id <> node").select("doc_id"))
+    found = marked(texts.where("doc_id is not null"), unsure, ("doc_id",), MARKS_LOG)
+    sure, looked_up = (
+        found.where(which).select("doc_id", "text").mapInArrow(_prefixes(counts, words), "doc_id long, digest binary, size long, bitmap binary, wide binary, first array<long>")
+        for which in ("not _again", "_again")
+    )
+    looked_up = looked_up.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    members = stored(sure.unionByName(looked_up).withColumnRenamed("doc_id", "node"), "members")
     posts = members.select("node", F.posexplode("first").alias("place", "tree"))
     posts = posts.repartition("tree").sortWithinPartitions("tree").mapInArrow(_shared, "node long, place int, tree long")
     posts = stored(posts, "trees")
     # Rows of one id with different texts are one document.
     several = able.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes"))
     several = several.where("a < b").select("a", F.explode("nodes").alias("b")).where("a < b")
-    read = texts.where("doc_id is not null").mapInArrow(_packed, "node long, text binary")
+    read = texts.where("doc_id is not null")
     bare = members.select("node", "size", "bitmap", "wide")
     first = posts.groupBy("node").agg(F.min_by("tree", "place").alias("tree"))
-    links = stored(_round(first, bare.withColumn("part", F.col("node")), read.hint("merge"), words, block, False, "first").unionByName(several), "first-links")
+    links = stored(_round(first, bare.withColumn("part", F.col("node")), read, words, block, False, "first").unionByName(several), "first-links")
     found = stored(components(links, "first"), "first-components")
     named = stored(posts.join(found, "node", "left").select("tree", "node", F.coalesce("component", "node").alias("part")), "named")
     mixed = named.groupBy("tree").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("tree")

@@ -103,6 +103,23 @@ def test_jaccard_of_hot_groups(spark):
             assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, words, block).collect()} == want
 
 
+def test_jaccard_packs_only_texts_of_groups(spark, monkeypatch):
+    texts = [" ".join(f"d{i}w{k}" for k in range(40)) for i in range(60)]
+    texts += [texts[0] + " more", texts[1]]
+    packed, pack = spark.sparkContext.accumulator(0), jaccard_join._packed
+
+    def counted(batches):
+        for batch in pack(batches):
+            packed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jaccard_join, "_packed", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: i for i in range(60)} | {60: 0, 61: 1}
+    assert 2 <= packed.value < 20  # of 62 texts, each of them twice before
+
+
 def test_jaccard_of_two_texts_under_one_id(spark):
     rows = [(1, passage(60)), (2, passage(60)), (2, passage(60, 500)), (3, passage(60, 500)), (4, passage(61, 900)), (5, ""), (5, passage(60, 900)), (6, passage(50, 3000))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
