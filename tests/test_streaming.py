@@ -2,8 +2,10 @@
 
 import datetime as dt
 import gzip
+import hashlib
 import json
 import os
+import time
 
 import pytest
 
@@ -211,3 +213,42 @@ def test_a_large_rolled_file_becomes_several_in_the_order_of_time(spark, monkeyp
     starts = [[dt.datetime.fromisoformat(json.loads(x)["startTime"]) for x in c if x.startswith("{")] for c in contents]
     for a, b in zip(starts, starts[1:], strict=False):
         assert max(a) - min(b) <= dt.timedelta(minutes=4)
+
+
+def test_rolling_an_archive_leaves_only_its_files(spark, monkeypatch):
+    """Neither the staged lines nor shuffled texts stay behind, and no file's text is shuffled before the last file is there."""
+    raw = [json.dumps({**attempt(f"a{n}", f"t{n}", 50 * n), "note": hashlib.sha512(b"%d" % n).hexdigest() * 8}) for n in range(3000)]
+    lines = A.number_lines(spark.createDataFrame([(r,) for r in [*raw, "broken"]], "raw string").selectExpr(
+        "raw", "current_timestamp() AS at", "'f' AS file", "0L AS block"))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(n) for n in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, most = shuffled(), []
+    path, staging = scratch_dir(spark, "rolled"), scratch_dir(spark, "staged")
+
+    def look(_):
+        for _ in range(50):  # files are removed in the background
+            left = sum(n for name, n in shuffled().items() if name not in before)
+            if not left:
+                break
+            time.sleep(0.1)
+        most.append(left)
+
+    planes.write_rolled(lines, path, staging, files=4, after=look)
+    assert most == [0] * 4 and not os.path.exists(staging)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == sorted([*raw, "broken"])
+
+
+def test_rolling_lines_of_one_second_and_lines_without_a_time(spark):
+    same = [json.dumps(attempt("a", f"t{n}", 50)) for n in range(20)]
+    for raw in (same, ["x", "y"], [*same, "x"], []):
+        lines = A.number_lines(spark.createDataFrame([(r,) for r in raw], "raw string").selectExpr(
+            "raw", "current_timestamp() AS at", "'f' AS file", "0L AS block"))
+        for files in (1, 3):
+            path = scratch_dir(spark, "rolled")
+            planes.write_rolled(lines, path, scratch_dir(spark, "staged"), files=files)
+            kept = [x for x in ([r.value for r in spark.read.text(os.path.join(path, f)).collect()] for f in sorted(os.listdir(path)) if f.startswith("part-")) if x]
+            assert sorted(sum(kept, [])) == sorted(raw) and all(set(same) <= set(c) for c in kept if same[0] in c)
