@@ -8,6 +8,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from planewatch import constants as K
 from planewatch.operators import detections as R
@@ -252,3 +253,18 @@ def test_rolling_lines_of_one_second_and_lines_without_a_time(spark):
             planes.write_rolled(lines, path, scratch_dir(spark, "staged"), files=files)
             kept = [x for x in ([r.value for r in spark.read.text(os.path.join(path, f)).collect()] for f in sorted(os.listdir(path)) if f.startswith("part-")) if x]
             assert sorted(sum(kept, [])) == sorted(raw) and all(set(same) <= set(c) for c in kept if same[0] in c)
+
+
+def test_rolled_files_keep_their_order_however_many_there_are(spark, monkeypatch):
+    """A session may make more partitions than asked for; none of them may be lost or dated after the archive."""
+    raw = [json.dumps(attempt(f"a{n}", f"t{n}", 50 * n)) for n in range(200)]
+    lines = A.number_lines(spark.createDataFrame([(r,) for r in raw], "raw string").selectExpr(
+        "raw", "current_timestamp() AS at", "'f' AS file", "0L AS block"))
+    ranged = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *by: ranged(self, n + 4, *by))
+    path = scratch_dir(spark, "rolled")
+    planes.write_rolled(lines, path, scratch_dir(spark, "staged"), files=3)
+    files = sorted((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".txt")), key=lambda f: os.stat(f).st_mtime_ns)
+    contents = [open(f).read().splitlines() for f in files]
+    assert len(files) == 15 and files == sorted(files) and os.stat(files[-1]).st_mtime < time.time()
+    assert sorted(sum(contents, [])) == sorted(raw)
